@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, orcids, packing, sharding, tokencount
+from . import bytebpe, minhash, orcids, packing, sharding, tokencount, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048, 0)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.3)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orcids.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
@@ -28,10 +32,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), [1.0] * 16)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op4_token_files, op5_byte_bpe, op7_sharding)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_toxicity, op4_token_files, op5_byte_bpe, op6_near_duplicates, op7_sharding)}
 
 ORACLE_SQL: dict[str, str] = {}
