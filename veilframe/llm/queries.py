@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, minhash, orcids, packing, sharding, tokencount, toxicity
+from . import bytebpe, minhash, orcids, packing, sharding, suffixes, tokencount, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), [1.0] * 16)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_toxicity, op4_token_files, op5_byte_bpe, op6_near_duplicates, op7_sharding)}
+def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), 400)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_toxicity, op4_token_files, op5_byte_bpe, op6_near_duplicates, op7_sharding, op10_repeated_strings)}
 
 ORACLE_SQL: dict[str, str] = {}
