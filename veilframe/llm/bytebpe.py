@@ -231,4 +231,4 @@ def round_trip_digests(docs: DataFrame, rank_path: str) -> DataFrame:
             b.append(hashlib.sha256(codec.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
         return pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_batches(documents(docs), each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", 4 << 20)
+    return map_batches(documents(docs), each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", 2 << 20)

@@ -40,7 +40,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     def run(batches):
         vocabulary = compiled(("library", file.key), lambda: LibraryVocabulary(file.bytes()))
         before = 0
-        for batch in pieces_of(batches, 4 << 20):
+        for batch in pieces_of(batches, 2 << 20):
             ids, ends = vocabulary.encode(texts_of(batch.column(2)))
             ends = ends + np.arange(1, len(ends) + 1)
             with_end = np.full(len(ids) + len(ends), end_id, np.int32)

@@ -18,47 +18,81 @@ import numpy as np
 from .mergetable import BorderClasses, MergeTable
 
 BLOCK, WARM_UP = 384, 24
-#: Cells of the table, 8 bytes each.
-MOST_CELLS = 28 << 20
+#: States kept; with their transitions about 1 KB each.
+MOST_STATES = 150_000
+SPREAD = 0x9E3779B97F4A7C15
 
 
 class TokenTransducer:
     """``ids``: token -> id over symbols 0 to 511 (a byte, or 256 + a byte that ends a word)."""
 
-    def __init__(self, ids: dict[str, int], table: MergeTable, most_cells: int = MOST_CELLS):
-        self.ids, self.table, self.most_cells = ids, table, most_cells
+    def __init__(self, ids: dict[str, int], table: MergeTable, most_states: int = MOST_STATES):
+        self.ids, self.table, self.most_states = ids, table, most_states
         self.borders = BorderClasses(table)
         self.lengths = np.zeros(max(ids.values()) + 1, np.int64)
         for token, i in ids.items():
             self.lengths[i] = len(token)
-        self.column = np.full(512, -1, np.int64)
+        self.column = np.full(512, -1, np.int16)
         self.symbols = [""]
         self._clear()
 
     def _clear(self) -> None:
         self.borders.clear()
-        self.width = max(64, -(-len(self.symbols) // 32) * 32)
-        self.cells = np.full((1024, self.width), -1, np.int64)
         self.states: list = []
         self.numbers: dict = {}
+        self.known = 0
+        self._rehash(18)
         self._number(("", (0,)))
 
-    def _grow(self, rows: int, width: int) -> None:
-        cells = np.full((rows, width), -1, np.int64)
-        cells[: self.cells.shape[0], : self.width] = self.cells
-        self.cells, self.width = cells, width
+    def _rehash(self, bits: int) -> None:
+        old = (self.keys, self.values) if self.known else (np.zeros(0, np.int64),) * 2
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        used = old[0] >= 0
+        for key, value in zip(old[0][used].tolist(), old[1][used].tolist(), strict=True):
+            self._insert(key, value)
+
+    def _insert(self, key: int, value: int) -> None:
+        slot = (key * SPREAD & 0xFFFFFFFFFFFFFFFF) >> int(self.shift)
+        while self.keys[slot] >= 0:
+            slot = slot + 1 & self.mask
+        self.keys[slot], self.values[slot] = key, value
 
     def _number(self, state) -> int:
         n = self.numbers.get(state)
         if n is None:
             n = self.numbers[state] = len(self.states)
             self.states.append(state)
-            if n >= len(self.cells):
-                self._grow(len(self.cells) * 4 // 3, self.width)
-            self.cells[n, 0] = n << 32
         return n
 
-    def _advance(self, number: int, column: int) -> None:
+    def _look_up(self, key: np.ndarray) -> np.ndarray:
+        """Transitions by (state, column), open addressing with linear probing; unknown ones are made."""
+        slot = ((key.view(np.uint64) * np.uint64(SPREAD)) >> self.shift).astype(np.int64)
+        value = self.values.take(slot)
+        left = np.flatnonzero(self.keys.take(slot) != key)
+        new = []
+        while len(left):
+            there = self.keys[slot[left]]
+            hit, free = there == key[left], there < 0
+            value[left[hit]] = self.values[slot[left[hit]]]
+            if free.any():
+                new.append(left[free])
+            left = left[~(hit | free)]
+            slot[left] = slot[left] + 1 & self.mask
+        if new:
+            missing = np.concatenate(new)
+            for k in np.unique(key[missing]).tolist():
+                self._insert(k, self._advance(k >> 10, k & 1023))
+                self.known += 1
+            if 3 * self.known > self.mask:
+                self._rehash(int(self.mask).bit_length() + 1)
+            value[missing] = self._look_up(key[missing])
+        return value
+
+    def _advance(self, number: int, column: int) -> int:
+        """Next state << 32 | last token."""
+        if column == 0:
+            return number << 32
         suffix, classes = self.states[number]
         borders = self.borders
         tokens, stay, to = borders.shape(suffix, self.symbols[column])
@@ -66,18 +100,13 @@ class TokenTransducer:
             if token is not None and (before == 0 or borders.hold(before, token)):
                 break
         kept = (borders.after(token), *[classes[i] and borders.narrow(classes[i], begun) for i, begun in stay])
-        self.cells[number, column] = self._number((to, kept)) << 32 | self.ids[token]
+        return self._number((to, kept)) << 32 | self.ids[token]
 
     def _run(self, columns: np.ndarray, begins: np.ndarray, entry: np.ndarray, out: np.ndarray | None) -> np.ndarray:
         """Columns and piece begins by (step, lane); writes the last tokens to ``out``, returns the exit states."""
         state = entry
         for i, row in enumerate(columns):
-            at = np.where(begins[i], 0, state) * self.width + row
-            cell = self.cells.ravel().take(at)
-            if cell.min(initial=0) < 0:
-                for k in np.unique(at[cell < 0]).tolist():
-                    self._advance(k // self.width, k % self.width)
-                cell = self.cells.ravel().take(at)
+            cell = self._look_up(np.where(begins[i], 0, state) << 10 | row)
             state = cell >> 32
             if out is not None:
                 out[i] = cell & 0xFFFFFFFF
@@ -85,19 +114,17 @@ class TokenTransducer:
 
     def last_tokens(self, symbols: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """For each symbol of the stream, the id of the last token of its piece up to there."""
-        if self.cells.size > self.most_cells:
+        if len(self.states) > self.most_states:
             self._clear()
         columns = self.column[symbols]
         if columns.size and columns.min() < 0:
             for s in np.unique(symbols[columns < 0]).tolist():
                 self.column[s] = len(self.symbols)
                 self.symbols.append(chr(s))
-            if len(self.symbols) > self.width:
-                self._grow(len(self.cells), -(-len(self.symbols) // 32) * 32)
             columns = self.column[symbols]
         lanes = -(-len(symbols) // BLOCK)
         spare = lanes * BLOCK - len(symbols)
-        columns = np.ascontiguousarray(np.concatenate([columns, np.zeros(spare, np.int64)]).reshape(lanes, BLOCK).T)
+        columns = np.ascontiguousarray(np.concatenate([columns, np.zeros(spare, np.int16)]).reshape(lanes, BLOCK).T)
         starts = np.ascontiguousarray(np.concatenate([begins, np.zeros(spare, bool)]).reshape(lanes, BLOCK).T)
         out = np.empty((BLOCK, lanes), np.int32)
         entry = np.zeros(lanes, np.int64)
@@ -313,7 +340,7 @@ class LibraryVocabulary:
         if not self.joins:
             keep = ~np.repeat(outside, np.diff(at))
             at = np.append(0, np.cumsum(keep))[at]
-            data, starts = data[keep].astype(np.int64), starts[keep]
+            data, starts = data[keep].astype(np.int16), starts[keep]
             if len(data):
                 data[np.append(np.flatnonzero(starts)[1:], len(data)) - 1] += 256
         ids, where = self.transducer.tokens(data, starts)
