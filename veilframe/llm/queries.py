@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, minhash, orcids, packing, sharding, suffixes, tokencount, toxicity
+from . import bytebpe, embeddups, minhash, orcids, packing, sharding, suffixes, tokencount, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,10 +40,34 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), [1.0] * 16)
 
 
+def op8_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddups.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), 5, 50, 256.0)
+
+
 def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), 400)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_toxicity, op4_token_files, op5_byte_bpe, op6_near_duplicates, op7_sharding, op10_repeated_strings)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_best_fit_packing, op3_toxicity, op4_token_files, op5_byte_bpe, op6_near_duplicates, op7_sharding,
+        op8_embedding_near_duplicates, op9_exact_top_k, op10_repeated_strings,
+    )
+}
+
+ORACLE_SQL = {
+    # scores are sums of products of integers below 2 ** 53, so doubles are exact
+    "op9_exact_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+                   WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.x, d.x) AS BIGINT) AS score
+                   FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.x) = len(d.x) WHERE q.vec_id % 50 = 0),
+             r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, pieces_of, texts_of, written
+from .common import map_batches, pieces_of, texts_of, written
 from .shingles import _BYTE, _powers, mix
 
 WINDOW = 400
@@ -272,13 +272,15 @@ def _spans(data: np.ndarray, whole: np.ndarray, parts: list[tuple[int, int, int]
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """Per row (doc_id, text, t, n_bytes, copies), and for texts with something to remove (t, text, spans).
+def repeated_spans(docs: DataFrame, window: int = WINDOW, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Per row (doc_id, text, rest, t, copies) with the ``more`` columns as a struct in rest, and for texts with something to remove (t, text, spans).
 
     ``t`` is a hash of the text and ``copies`` how many rows have it; a text with several copies is removed whole
     where it has ``window`` bytes, and isn't in the second table for that.
     """
-    rows = documents(docs).withColumn("t", F.xxhash64("text", F.lit(10)))
+    rest = F.struct(*[F.col(f"`{c}`") for c in more]) if more else F.lit(None).cast("int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
+    rows = rows.withColumn("t", F.xxhash64("text", F.lit(10)))
     long_ = rows.where(F.octet_length("text") >= window)
     anchors = _anchor_rows(long_.select("t", "text"), window)
     mark = F.xxhash64("context", "t")
@@ -348,9 +350,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, t, text): the remaining texts; a character stays unless all its bytes are removed."""
-    rows, removed = repeated_spans(docs, window)
+def without_repeats(docs: DataFrame, window: int = WINDOW, more: list[str] | None = None) -> DataFrame:
+    """doc_id, text and ``more`` columns with the remaining texts; a character stays unless all its bytes are removed."""
+    rows, removed = repeated_spans(docs, window, tuple(more or ()))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -369,4 +371,5 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     cut = written(map_batches(removed, each, "t long, kept string"), "kept")
     whole = (F.col("copies") > 1) & (F.octet_length("text") >= window)
-    return rows.join(cut, "t", "left").select("doc_id", "t", F.when(whole, F.lit("")).otherwise(F.coalesce("kept", "text")).alias("text"))
+    text = F.when(whole, F.lit("")).otherwise(F.coalesce("kept", "text")).alias("text")
+    return rows.join(cut, "t", "left").select("doc_id", text, *(["rest.*"] if more else []))
