@@ -91,3 +91,26 @@ class Shipped:
 
     def bytes(self) -> bytes:
         return self._value.value
+
+
+def runs_of(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Consecutive rows with equal values in the first ``keys`` integer columns, as one table each."""
+    import numpy as np
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [np.asarray(batch.column(i)) for i in range(keys)]
+        cut = np.flatnonzero(np.logical_or.reduce([np.diff(c) != 0 for c in columns])) + 1
+        edges = [0, *cut.tolist(), batch.num_rows]
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            now = tuple(int(c[low]) for c in columns)
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(low, high - low))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)

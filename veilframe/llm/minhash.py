@@ -7,9 +7,10 @@ a pair at similarity 0.8 shares none with probability (1 - 0.8 ** 7) ** 64 = 3e-
 
 Equal sets are one node.  In each bucket every node is compared with one of them, the same in all buckets it is in,
 and linked where the full sets reach the threshold; links make components.  Buckets whose nodes ended up in
-different components are then compared pair by pair, across components only: pairs within a component need no
-further link, so groups of any size cost as many comparisons as they have members.  A pair is only left out where
-sizes or the one-bit sketches of the signatures rule the threshold out (a false exclusion has a chance below 1e-9).
+different components are then compared across components: pairs within a component need no further link, so a group
+that holds together costs as many comparisons as it has members.  Small buckets list the pairs that sizes and one-bit
+sketches of the signatures don't rule out (a false exclusion has a chance below 1e-9); crowded ones are compared in
+blocks within tasks and only emit links.
 
 Defined results: null texts and texts without words have no shingles and are linked with nothing; repeated rows are
 linked with each other; a null doc_id is an id like any other; an empty table gives an empty table; further columns
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, texts_of, written
+from .common import documents, map_batches, runs_of, texts_of, written
 from .components import components
 from .shingles import mix, overlap, set_hash, shingle_sets
 
@@ -34,6 +35,8 @@ UNIVERSE_BITS = 20
 SKETCH_WORDS = COORDINATES // 64
 #: Equal sketch bits of a pair at similarity s are binomial with share (1 + s) / 2; this many standard deviations below.
 SKETCH_SLACK = 6.5
+#: Buckets with more nodes that are still apart are compared in blocks of so many, within tasks.
+CROWD, CROWD_BLOCK = 12, 256
 
 _TABLE: list[np.ndarray] = []
 
@@ -117,6 +120,60 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return map_batches(rows, each, "a long, b long", 4 << 20)
 
 
+def crowd_links(sets: list[np.ndarray], labels: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Of the pairs of ``left`` and ``right`` with different labels that reach ``percent``, one for each two labels."""
+    values = np.concatenate([sets[i] for i in (*left, *right)])
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(sets[i]) for i in (*left, *right)])
+    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    column, owner = np.unique(column[shared], return_inverse=True)[1], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    width = 4096
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        low, high = np.searchsorted(column, [at, at + width])
+        has = np.zeros((len(left) + len(right), width), np.float32)
+        has[owner[low:high], column[low:high] - at] = 1
+        both += has[: len(left)] @ has[len(left) :].T
+    sizes = np.array([len(x) for x in sets])
+    linked = 100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both)
+    linked &= labels[left][:, None] != labels[right][None, :]
+    i, j = np.nonzero(linked)
+    a, b = left[i], right[j]
+    first = np.unique(np.stack([np.minimum(labels[a], labels[b]), np.maximum(labels[a], labels[b])], axis=1), axis=0, return_index=True)[1] if len(a) else ()
+    return [(int(a[k]), int(b[k])) for k in first]
+
+
+def confirm_crowds(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links across the components within crowded buckets; ``members``: key, size, node, label, doc.
+
+    A bucket's members are cut into blocks, and each pair of blocks is compared within one task on full sets; what is
+    emitted is one link for each two components there, not pairs.
+    """
+    wanted = members.select(F.col("doc").alias("doc_id")).distinct()
+    texts = written(texts.join(written(wanted, "wanted"), "doc_id"), "texts")
+    blocks = F.ceil(F.col("size") / CROWD_BLOCK).cast("int")
+    rows = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "label", F.col("doc").alias("doc_id"))
+    rows = rows.join(texts, "doc_id").select("key", "bi", "bj", "block", "node", "label", "text")
+    rows = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "node")
+
+    def run(batches):
+        for group in runs_of(batches, 3):
+            sets = shingle_sets(texts_of(group.column("text")), width)
+            node, label, block = (np.asarray(group.column(c)) for c in ("node", "label", "block"))
+            # a doc_id may stand before several texts: only that of the node counts
+            mine = np.array([len(x) > 0 and set_hash(x) == n for x, n in zip(sets, node.tolist(), strict=True)])
+            left, right = (np.flatnonzero(mine & (block == group.column(c)[0].as_py())) for c in ("bi", "bj"))
+            pairs = crowd_links(sets, label, left, right, percent) if len(left) and len(right) else []
+            if pairs:
+                yield pa.record_batch([pa.array([int(node[a]) for a, _ in pairs]), pa.array([int(node[b]) for _, b in pairs])], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
     texts = documents(docs)
@@ -135,10 +192,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # what of the buckets is still apart
     labelled = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     labelled = written(labelled, "labelled")
-    apart = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low != high and size > 2").select("key")
+    apart = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low != high and size > 2").select("key", "size")
     open_ = labelled.join(written(apart, "apart"), "key").join(nodes.select("node", "doc", "n", "sketch"), "node")
-    open_ = written(open_.select("key", "node", "label", "doc", "n", "sketch"), "open")
-    left, right = (open_.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "doc", "n", "sketch")]) for s in "ab")
+    open_ = written(open_.select("key", "size", "node", "label", "doc", "n", "sketch"), "open")
+    left, right = (open_.where(F.col("size") <= CROWD).select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "doc", "n", "sketch")]) for s in "ab")
     share = (1 + percent / 100) / 2
     least = int(COORDINATES * share - SKETCH_SLACK * (COORDINATES * share * (1 - share)) ** 0.5)
     differ = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
@@ -146,8 +203,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     across = across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "doc_a", "doc_b").distinct()
     tested = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     across = written(across.join(tested, ["a", "b"], "left_anti"), "across")
-    if not across.isEmpty():
-        labels = components(links.union(confirm(across, texts, width, percent)))
+    crowded = open_.where(F.col("size") > CROWD).select("key", "size", "node", "label", "doc")
+    more = [] if across.isEmpty() else [confirm(across, texts, width, percent)]
+    more += [] if crowded.isEmpty() else [confirm_crowds(crowded, texts, width, percent)]
+    for found in more:
+        links = links.union(written(found, "confirmed"))
+    if more:
+        labels = components(links)
     smallest = written(labels.join(nodes.select("node", "doc"), "node").groupBy("label").agg(F.min("doc").alias("component")), "smallest")
     linked = labels.join(smallest, "label").select("node", "component")
     of_node = nodes.select("node", "doc").join(linked, "node", "left").select("node", F.coalesce("component", "doc").alias("component"))
