@@ -31,8 +31,8 @@ from .shingles import _BYTE, _powers, mix
 WINDOW = 400
 #: Different contexts of one anchor that a task compares; anchors with more are counted by window.
 CROWD = 150
-#: Bytes of contexts in the smallest suffix array of a family.
-BATCH = 4 << 20
+#: Bytes of contexts that a task gets on average, and of the smallest suffix array of its family.
+BATCH = 1 << 20
 _ODD = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -172,7 +172,7 @@ def _anchor_rows(texts: DataFrame, window: int) -> DataFrame:
         key, context, t, many = map(np.concatenate, out)
         return pa.record_batch([_signed(key), _signed(context), pa.array(t), pa.array(many)], ["key", "context", "t", "many"])
 
-    return map_batches(texts, each, "key long, context long, t long, many boolean", 4 << 20)
+    return map_batches(texts, each, "key long, context long, t long, many boolean", 2 << 20)
 
 
 def _contexts(rows: DataFrame, window: int) -> DataFrame:
@@ -226,7 +226,9 @@ def _compare(contexts: DataFrame, window: int) -> DataFrame:
             mine = [owners[i] for i in owner[part].tolist()]
             yield pa.record_batch([pa.array([x[0] for x in mine], pa.int64()), pa.array([x[1] for x in mine], pa.int64()), pa.array((low - base)[part]), pa.array((high - base)[part])], ["t", "context", "low", "high"])
 
-    return contexts.repartition("key").mapInArrow(run, "t long, context long, low long, high long")
+    # a task's arrays take about 60 times the bytes of its contexts; no key has more than CROWD contexts
+    size = contexts.agg(F.sum(F.octet_length("data")).alias("n")).first()["n"] or 0
+    return contexts.repartition(max(1, -(-size // BATCH)), "key").mapInArrow(run, "t long, context long, low long, high long")
 
 
 def _count_windows(contexts: DataFrame, window: int) -> DataFrame:
