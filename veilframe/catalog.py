@@ -1,4 +1,11 @@
 """Registered queries of the de-identification operators, with the SQL that checks them."""
 
+from __future__ import annotations
+
+from .plans import detection, documents, identifiers, policy, reporting
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _part in (identifiers, documents, detection, policy, reporting):
+    QUERIES |= _part.QUERIES
+    ORACLE_SQL |= _part.ORACLE_SQL
