@@ -68,7 +68,7 @@ _COMPILED: dict[object, object] = {}
 
 def compiled(key: object, make: Callable[[], object]) -> object:
     if key not in _COMPILED:
-        while len(_COMPILED) >= 4:  # a worker that serves many jobs keeps the latest few
+        while len(_COMPILED) >= 2:  # a worker that serves many jobs keeps the latest
             _COMPILED.pop(next(iter(_COMPILED)))
         _COMPILED[key] = make()
     return _COMPILED[key]

@@ -12,9 +12,30 @@ Tokens are ``str``; byte vocabularies map byte *b* to ``chr(b)``.
 
 from __future__ import annotations
 
+import bisect
 import math
 
 
+class Derivations:
+    """By token, one of its derivations; tokens that no merges lead to aren't in it.  Made when asked for."""
+
+    def __init__(self, table: MergeTable, side: int):
+        self._table, self._side = table, side
+
+    def __contains__(self, token: str) -> bool:
+        return self._table.derivation(token) is not None
+
+    def get(self, token: str):
+        found = self._table.derivation(token)
+        return None if found is None else found[self._side]
+
+    def __getitem__(self, token: str):
+        return self._table.derivation(token)[self._side]
+
+    def __iter__(self):
+        return (t for t in self._table.ranks if t in self)
+
+
 class MergeTable:
     """Border test and prefixes for a vocabulary whose rank order is its merge order."""
 
@@ -22,19 +43,18 @@ class MergeTable:
         """``pairs``: the rank of each pair that merges; None: two tokens merge where their concatenation is one."""
         self.ranks = ranks
         self.rank_of = (lambda a, b: pairs.get((a, b), math.inf)) if pairs is not None else (lambda a, b: ranks.get(a + b, math.inf))
-        self.prefixes: set[str] = set()  # proper prefixes of tokens, "" included
-        self.right: dict[str, list[tuple[float, str]]] = {}
-        self.left: dict[str, list[tuple[float, str]]] = {}
-        for token in ranks:
-            steps = self._derive(token)
-            if steps is None:
-                continue  # no merges lead to it, so no text yields it by merging
-            self.left[token], self.right[token] = steps
-            for i in range(len(token)):
-                self.prefixes.add(token[:i])
+        self.prefixes: set[str] = {token[:i] for token in ranks for i in range(len(token))}  # proper ones, "" included
         self.prefixes.add("")
-        self.longest = max(map(len, self.right), default=1)
+        self.right, self.left = Derivations(self, 1), Derivations(self, 0)
+        self._derived: dict[str, tuple | None] = {}
         self._whole: dict[tuple[str, str], bool] = {}
+        self._sorted: list[str] | None = None
+
+    def derivation(self, token: str) -> tuple | None:
+        """Left and right edges of a token after each of its merges; None where no merges lead to it."""
+        if token not in self._derived:
+            self._derived[token] = self._derive(token) if token in self.ranks else None
+        return self._derived[token]
 
     def _derive(self, token: str):
         """Left and right edge of ``token`` after each merge, with the merge's rank; None if unreachable."""
@@ -86,13 +106,25 @@ class MergeTable:
             else:
                 j += 1
 
-    def followers(self) -> dict[str, list[str]]:
-        """What a part of a token can be followed by within a token."""
-        out: dict[str, list[str]] = {}
-        for token in self.right:
-            for i in range(1, len(token)):
-                out.setdefault(token[:i], []).append(token[i:])
-        return out
+    def follows(self, edge: str, begun: str) -> bool:
+        """Can ``edge`` grow, within some token, by something that agrees with ``begun`` as far as both go?"""
+        if self._sorted is None:
+            self._sorted = sorted(self.ranks)
+        at = bisect.bisect_right(self._sorted, edge)
+        while at < len(self._sorted) and self._sorted[at].startswith(edge):
+            rest = self._sorted[at][len(edge) :]
+            if rest.startswith(begun) or begun.startswith(rest):
+                return True
+            # the next that could agree
+            at = max(at + 1, bisect.bisect_left(self._sorted, edge + begun[: _agreement(rest, begun) + 1], at + 1)) if rest < begun else len(self._sorted)
+        return False
+
+
+def _agreement(a: str, b: str) -> int:
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
 
 
 #: No character of a text.
@@ -104,7 +136,6 @@ class BorderClasses:
 
     def __init__(self, table: MergeTable):
         self.table = table
-        self._followers = table.followers()
         self._relevant: dict = {}
         self.clear()
 
@@ -139,7 +170,7 @@ class BorderClasses:
                 pair = (edge, begun)
                 fits = self._relevant.get(pair)
                 if fits is None:
-                    fits = self._relevant[pair] = any(y.startswith(begun) or begun.startswith(y) for y in self._followers.get(edge, ()))
+                    fits = self._relevant[pair] = self.table.follows(edge, begun)
                 out.append((rank, edge if fits else NEVER))
             last = max((i for i, x in enumerate(out) if x[1] != NEVER), default=-1)
             known = self._narrowed[key] = self._number(tuple(out[: last + 2]) if last >= 0 else ())

@@ -19,7 +19,7 @@ from .mergetable import BorderClasses, MergeTable
 
 BLOCK, WARM_UP = 384, 24
 #: States kept; with their transitions about 1 KB each.
-MOST_STATES = 150_000
+MOST_STATES = 110_000
 SPREAD = 0x9E3779B97F4A7C15
 
 

@@ -230,7 +230,7 @@ def score(docs: DataFrame, model: Model, *more: str) -> DataFrame:
         return pa.record_batch([*batch.columns, pa.array(scores)], [*batch.schema.names, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return map_batches(rows, each, f"{schema}, score double")
+    return map_batches(rows, each, f"{schema}, score double", 1 << 20)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
