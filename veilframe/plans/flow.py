@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 from ..operators import manifest, render, surrogates
 from ..operators.detectors import detect
 from ..operators.fusion import fuse
+from ..operators.people import detect_addresses, detect_persons
 from ..operators.policy import decide, number_labels
 
 
 def mentions_of(docs: DataFrame, rules: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Accepted mentions with their values, and groups of too little evidence."""
-    groups = fuse(detect(docs, rules))
+    found = detect(docs, rules)
+    if rules is None:
+        found = found.unionByName(detect_persons(docs)).unionByName(detect_addresses(docs))
+    groups = fuse(found)
     value = F.substr("text", F.col("start") + 1, F.col("end") - F.col("start"))
     found = groups.where("accepted").join(docs.select("doc_id", "text"), "doc_id").withColumn("value", value).drop("text")
     return found, groups.where("not accepted")
