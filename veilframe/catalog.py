@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import detection, documents, identifiers, policy, reporting
+from .plans import decoding, detection, documents, identifiers, policy, reporting
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _part in (identifiers, documents, detection, policy, reporting):
+for _part in (identifiers, documents, detection, policy, reporting, decoding):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
