@@ -127,6 +127,8 @@ def _agreement(a: str, b: str) -> int:
     return n
 
 
+#: Entries of each of the caches that only save time; they are emptied when full.
+MOST_CACHED = 60_000
 #: No character of a text.
 NEVER = "\U0010ffff\U0010ffff"
 
@@ -163,11 +165,15 @@ class BorderClasses:
     def narrow(self, number: int, begun: str) -> int:
         """The class for tokens that begin with ``begun``."""
         key = (number, begun)
+        if len(self._narrowed) > MOST_CACHED:
+            self._narrowed.clear()
         known = self._narrowed.get(key)
         if known is None:
             out = []
             for rank, edge in self._steps[number]:
                 pair = (edge, begun)
+                if len(self._relevant) > MOST_CACHED:
+                    self._relevant.clear()
                 fits = self._relevant.get(pair)
                 if fits is None:
                     fits = self._relevant[pair] = self.table.follows(edge, begun)
@@ -178,6 +184,8 @@ class BorderClasses:
 
     def hold(self, number: int, token: str) -> bool:
         key = (number, token)
+        if len(self._borders) > MOST_CACHED:
+            self._borders.clear()
         known = self._borders.get(key)
         if known is None:
             known = self._borders[key] = self.table._replay(self._steps[number], self.table.left.get(token))
@@ -187,6 +195,8 @@ class BorderClasses:
         """Reading ``char`` after ``suffix``: by place the token that would end now or None, (place, what has begun)
         for the places that stay, and the new suffix.  Places are the suffixes of ``suffix`` that begin tokens,
         the shortest, "", first."""
+        if len(self._shapes) > MOST_CACHED // 2:
+            self._shapes.clear()
         known = self._shapes.get((suffix, char))
         if known is None:
             right, prefixes, text = self.table.right, self.table.prefixes, suffix + char

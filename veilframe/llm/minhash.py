@@ -90,7 +90,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
         longs = pa.list_(pa.int64())
         return pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, longs), pa.array(bits, longs)], ["doc_id", "n_shingles", "node", "bands", "sketch"])
 
-    return map_batches(documents(docs), each, "doc_id long, n_shingles long, node long, bands array<long>, sketch array<long>", 4 << 20)
+    return map_batches(documents(docs), each, "doc_id long, n_shingles long, node long, bands array<long>, sketch array<long>", 1 << 20)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -117,7 +117,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
             keep.append(100 * both >= percent * (len(own[i]) + len(those) - both) and set_hash(own[i]) == left and set_hash(those) == right)
         return pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return map_batches(rows, each, "a long, b long", 4 << 20)
+    return map_batches(rows, each, "a long, b long", 1 << 20)
 
 
 def crowd_links(sets: list[np.ndarray], labels: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:

@@ -19,7 +19,7 @@ from .mergetable import BorderClasses, MergeTable
 
 BLOCK, WARM_UP = 384, 24
 #: States kept; with their transitions below 1 KB each. Fewer would be made again and again on text of many words.
-MOST_STATES = 260_000
+MOST_STATES = 220_000
 SPREAD = 0x9E3779B97F4A7C15
 
 
