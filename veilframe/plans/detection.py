@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import propagate
+from ..operators import people, propagate
 from ..operators.detectors import detect
 from ..operators.fusion import fuse, islands
 from ..sources.tables import table
@@ -95,6 +95,18 @@ def q_unique_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.where("n = 1").select("c_custkey", "s_suppkey")
 
 
+ADDRESS_LINE = "concat('lives at ', CAST(o_orderkey % 90 + 10 AS STRING), ' Ocean ', CASE WHEN o_custkey % 2 = 0 THEN 'Street' ELSE 'Pde' END, ', ', CASE WHEN o_orderkey % 3 = 0 THEN 'Sydney' ELSE 'Coffs Harbour' END, ' NSW ', CAST(o_custkey % 8000 + 2000 AS STRING))"
+NAME_LINE = "concat('Seen by ', CASE WHEN o_orderkey % 2 = 0 THEN 'Dr' ELSE 'Mrs' END, ' Mary ', CASE WHEN o_custkey % 2 = 0 THEN 'van Dyk' ELSE 'O''Brien' END, ', ref ', CAST(o_orderkey AS STRING))"
+
+
+def q_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counts(people.detect_addresses(_lines(spark, sf_dir, ADDRESS_LINE)))
+
+
+def q_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counts(people.detect_persons(_lines(spark, sf_dir, NAME_LINE)))
+
+
 QUERIES = {
     "q_email": _documents(["email"]),
     "q_ipv4": _documents(["ipv4"]),
@@ -106,7 +118,7 @@ QUERIES = {
     "q_file_names": _derived(FILE_LINE, ["file_name"]),
     "q_po_box": _derived(PO_LINE, ["po_box"]),
     "q_generic_id": _derived(GENERIC_LINE, ["generic"]),
-} | {f.__name__: f for f in (q_url_pages, q_fusion_islands, q_type_priority, q_low_evidence, q_propagate_exact, q_propagate_fuzzy, q_seed_match, q_unique_cluster)}
+} | {f.__name__: f for f in (q_address, q_names, q_url_pages, q_fusion_islands, q_type_priority, q_low_evidence, q_propagate_exact, q_propagate_fuzzy, q_seed_match, q_unique_cluster)}
 
 
 def _sql(rows: str, entity: str, rule: str, strength: int = 2) -> str:
@@ -136,6 +148,16 @@ ORACLE_SQL = {
     "q_po_box": _sql("SELECT 0 AS s, 7 + length(CAST(o_orderkey % 9000 + 1 AS VARCHAR)) AS e FROM orders", "'street_address'", "'address.po_box'"),
     "q_generic_id": _sql("SELECT 9 AS s, 18 AS e FROM orders", "'other_id'", "'generic.alnum'", 1),
     "q_url_pages": _sql("SELECT 4 AS s, 4 + length(url) AS e FROM pages", "'url'", "'url'"),
+    "q_address": """
+        WITH l AS (SELECT 9 AS a, 9 + 9 + CASE WHEN o_custkey % 2 = 0 THEN 6 ELSE 3 END AS b, CASE WHEN o_orderkey % 3 = 0 THEN 6 ELSE 13 END AS n FROM orders)
+        SELECT 'street_address' AS entity_type, 'address.street' AS rule, CAST(2 AS INTEGER) AS strength, count(*) AS n, CAST(sum(a) AS BIGINT) AS sum_start, CAST(sum(b) AS BIGINT) AS sum_end FROM l
+        UNION ALL SELECT 'locality', 'address.locality', CAST(2 AS INTEGER), count(*), CAST(sum(b + 2) AS BIGINT), CAST(sum(b + 2 + n) AS BIGINT) FROM l WHERE n = 13
+        UNION ALL SELECT 'postcode', 'address.postcode', CAST(2 AS INTEGER), count(*), CAST(sum(b + 2 + n + 5) AS BIGINT), CAST(sum(b + 2 + n + 9) AS BIGINT) FROM l
+    """,
+    "q_names": """
+        WITH l AS (SELECT 8 + CASE WHEN o_orderkey % 2 = 0 THEN 3 ELSE 4 END AS a FROM orders)
+        SELECT 'person' AS entity_type, 'person.title' AS rule, CAST(2 AS INTEGER) AS strength, count(*) AS n, CAST(sum(a) AS BIGINT) AS sum_start, CAST(sum(a + 12) AS BIGINT) AS sum_end FROM l
+    """,
     "q_fusion_islands": """
         WITH p AS (SELECT l_orderkey AS doc_id, l_partkey % 400 AS s, CAST(l_partkey % 400 + l_quantity AS INTEGER) AS e, CAST(l_linenumber AS VARCHAR) AS r FROM lineitem),
              m AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p),
