@@ -2,7 +2,7 @@
 
 1. toxicity: documents that the model rejects go.  It is fitted on the labelled rows of the stage's own input.
 2. near duplicates: of each group of documents linked at 80 % of their five-word shingles one stays, that of the
-   smallest doc_id; of repeated rows of one doc_id one.
+   smallest doc_id; of rows with one doc_id and one text one stays.
 3. repeated strings: bytes covered by a string of ``REPEAT`` bytes that also starts elsewhere in the stage's input go,
    by whole characters.  All documents stay; one whose text goes entirely stays with an empty text.
 4. packing: documents are cut into pieces and packed into sequences of at most 2048 tokens.
@@ -43,7 +43,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(docs, width=5, percent=80)
     kept = written(found.where("kept").select(F.col("doc_id").alias("kept_id")).distinct(), "kept-ids")
-    first = docs.dropDuplicates(["doc_id"])
+    first = docs.dropDuplicates(["doc_id", "text"])  # whole repeated rows; texts that share an id stay
     rows = first.join(kept, first["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
