@@ -31,6 +31,8 @@ from .shingles import _BYTE, _powers, mix
 WINDOW = 400
 #: Different contexts of one anchor that a task compares; anchors with more are counted by window.
 CROWD = 150
+#: Windows of a crowded anchor that are first counted together.
+STRIDE = 8
 #: Bytes of contexts that a task gets on average, and of the smallest suffix array of its family.
 BATCH = 1 << 20
 _ODD = np.uint64(0xD1B54A32D192ED03)
@@ -231,27 +233,65 @@ def _compare(contexts: DataFrame, window: int) -> DataFrame:
     return contexts.repartition(max(1, -(-size // BATCH)), "key").mapInArrow(run, "t long, context long, low long, high long")
 
 
+def _hasher(blob: bytes, key: int):
+    """Hashes of stretches [low, high) of a context, told apart by a label, within its anchor."""
+    data = np.frombuffer(blob, np.uint8)
+    power, inverse = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
+    anchor = np.array([key], np.int64).view(np.uint64)
+
+    def of(low: np.ndarray, high: np.ndarray, label: np.ndarray) -> np.ndarray:
+        return mix(mix((sums[high] - sums[low]) * inverse[low] + label.astype(np.uint64) * _ODD) + anchor)
+
+    return of
+
+
 def _count_windows(contexts: DataFrame, window: int) -> DataFrame:
-    """As ``_compare``, by counting the hashes of single windows."""
+    """As ``_compare``, by counting hashes: of ``STRIDE`` neighbouring windows at a time, then of single ones.
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+    Windows are taken together by their offset from the anchor.  Where what they have in common, their core, occurs
+    once, none of them is repeated; where all their bytes occur twice, all are; the rest is counted window by window,
+    with one of each kind of the repeated ones to compare with.
+    """
+
+    def blocks(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[tuple] = []
         for key, context, t, back, blob in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            data = np.frombuffer(blob, np.uint8)
-            power, inverse = _powers(len(data) + 1)
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
-            start = np.arange(len(data) - window + 1)
-            plain = (sums[start + window] - sums[start]) * inverse[start]
-            hashes = mix(mix(plain + (back - start).astype(np.uint64) * _ODD) + np.array([key], np.int64).view(np.uint64))
+            of, n = _hasher(blob, key), len(blob) - window + 1
+            number = np.arange((back - n + 1) // STRIDE, back // STRIDE + 1)
+            last, first = back - STRIDE * number, back - STRIDE * number - STRIDE + 1  # starts of the block's windows
+            core = of(last, first + window, 2 * number)
+            whole = (first >= 0) & (last < n)
+            full = of(np.where(whole, first, 0), np.where(whole, last + window, 0), 2 * number + 1)
+            low, high = np.maximum(first, 0), np.minimum(last, n - 1)
+            out += zip([t] * len(number), [context] * len(number), core.view(np.int64).tolist(), [x if w else None for x, w in zip(full.view(np.int64).tolist(), whole.tolist(), strict=True)], low.tolist(), high.tolist(), strict=True)
+        columns = list(zip(*out, strict=True)) if out else [[]] * 6
+        return pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["t", "context", "core", "full", "low", "high"])
+
+    first = written(map_batches(contexts, blocks, "t long, context long, core long, full long, low long, high long", 2 << 20), "blocks")
+    cores = written(first.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "cores")
+    live = written(first.join(cores, "core").drop("core"), "live")
+    kinds = live.where("full is not null").groupBy("full").agg(F.count("*").alias("n"), F.min(F.struct("t", "context")).alias("one"))
+    live = live.join(written(kinds.where("n > 1").select("full", "one"), "block-kinds"), "full", "left")
+    live = written(live, "live")
+    done = live.where("one is not null").select("t", "context", "low", "high")
+    open_ = live.where("one is null or (one.t = t and one.context = context)").groupBy("t", "context").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+
+    def single(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+        for key, context, t, back, blob, runs in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            start = np.concatenate([np.arange(r["low"], r["high"] + 1) for r in runs])
+            hashes = _hasher(blob, key)(start, start + window, back - start)
             for column, x in zip(out, (hashes, np.full(len(start), t), np.full(len(start), context), start), strict=True):
                 column.append(x)
         hashes, t, context, start = map(np.concatenate, out)
         return pa.record_batch([_signed(hashes), pa.array(t), pa.array(context), pa.array(start)], ["hash", "t", "context", "low"])
 
-    windows = map_batches(contexts, each, "hash long, t long, context long, low long", 2 << 20)
-    twice = written(windows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "windows")
-    return windows.join(twice, "hash").select("t", "context", "low", F.col("low").alias("high"))
+    asked = contexts.join(written(open_, "open-blocks"), ["t", "context"]).select("key", "context", "t", "back", "data", "runs")
+    windows = written(map_batches(asked, single, "hash long, t long, context long, low long", 2 << 20), "windows")
+    twice = written(windows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "twice")
+    return done.union(windows.join(twice, "hash").select("t", "context", "low", F.col("low").alias("high")))
 
 
 def _spans(data: np.ndarray, whole: np.ndarray, parts: list[tuple[int, int, int]], window: int) -> list[tuple[int, int]]:
@@ -280,6 +320,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, more: tuple[str, ...]
     ``t`` is a hash of the text and ``copies`` how many rows have it; a text with several copies is removed whole
     where it has ``window`` bytes, and isn't in the second table for that.
     """
+    if window < 2 * STRIDE:
+        raise ValueError(f"windows have {2 * STRIDE} bytes at least")
     rest = F.struct(*[F.col(f"`{c}`") for c in more]) if more else F.lit(None).cast("int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
     rows = rows.withColumn("t", F.xxhash64("text", F.lit(10)))
