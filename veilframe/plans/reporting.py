@@ -21,21 +21,26 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_deidentify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only e-mail addresses, the part of the flow that SQL can say; q_deidentify_all runs all rules."""
     out = deidentify(_docs(spark, sf_dir), "broad", "label", ["email"])
     return out["output"].select("doc_id", F.md5("text").alias("text_md5"))
 
 
+def q_deidentify_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deidentify(_docs(spark, sf_dir), "broad", "label")["output"].select("doc_id", F.md5("text").alias("text_md5"))
+
+
 def q_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deidentify(_docs(spark, sf_dir), "broad", "surrogate", RULES)["replaced"].select("doc_id", "start", "end", "entity_type", F.length("by").alias("length"))
+    return deidentify(_docs(spark, sf_dir), "broad", "surrogate")["replaced"].select("doc_id", "start", "end", "entity_type", F.length("by").alias("length"))
 
 
 def q_release_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deidentify(_docs(spark, sf_dir), "broad", "label", RULES)["gate"].groupBy("outcome").agg(F.count("*").alias("n"))
+    return deidentify(_docs(spark, sf_dir), "broad", "label")["gate"].groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 def q_manifest_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    out = deidentify(docs, "broad", "label", RULES)
+    out = deidentify(docs, "broad", "label")
     return manifest.manifest(docs, out["decisions"], out["checks"], out["gate"])
 
 
@@ -47,7 +52,7 @@ def q_text_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = deidentify(_docs(spark, sf_dir), "broad", "label", RULES)
+    out = deidentify(_docs(spark, sf_dir), "broad", "label")
     return out["checks"].where("check = 'V6'").groupBy("passed").agg(F.count("*").alias("n"))
 
 
@@ -110,7 +115,7 @@ def q_tsv_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    q_deidentify, q_surrogates, q_release_gate, q_manifest_canonical, q_text_leak, q_integrity, q_span_to_tokens, q_job_summary, q_category_counts, q_overlay_boxes,
+    q_deidentify, q_deidentify_all, q_surrogates, q_release_gate, q_manifest_canonical, q_text_leak, q_integrity, q_span_to_tokens, q_job_summary, q_category_counts, q_overlay_boxes,
     q_score_tally, q_coverage, q_replacement_explained, q_tsv_parse,
 )}
 
