@@ -41,10 +41,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = minhash.near_duplicates(docs, width=5, percent=80)
-    kept = written(found.where("kept").select(F.col("doc_id").alias("kept_id")).distinct(), "kept-ids")
-    first = docs.dropDuplicates(["doc_id", "text"])  # whole repeated rows; texts that share an id stay
-    rows = first.join(kept, first["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    found = minhash.linked(docs, width=5, percent=80)
+    kept = written(found.where("row = first_row").select(F.col("row").alias("kept_row")).distinct(), "kept-rows")
+    first = docs.dropDuplicates(["doc_id", "text"])  # whole repeated rows; different texts that share an id are told apart
+    rows = first.join(kept, minhash.row_key() == kept["kept_row"], "left_semi")
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

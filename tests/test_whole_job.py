@@ -27,3 +27,21 @@ def test_all_rules_reach_surrogates_and_manifest(spark, one):
     assert {r["entity_type"] for r in entry.queries()["q_surrogates"](spark, one).collect()} == TYPES
     (row,) = entry.queries()["q_manifest_canonical"](spark, one).collect()
     assert {m["entity_type"] for m in json.loads(row["manifest"])["mentions"]} == TYPES
+
+
+def test_near_duplicates_with_null_and_shared_ids(spark, rows):
+    from veilframe.llm import minhash
+
+    text = lambda tag: " ".join(f"{tag}{i}" for i in range(60))
+    # under id 7 another text stands beside the near copies of ids 1 to 40; the others have no id
+    data = [(7, text("x"))] + [(7, text("a") + " tail")] + [(i, text("a") + f" end{i}") for i in range(1, 41) if i != 7]
+    data += [(None, text("a") + " other"), (None, text("b")), (None, text("b") + " tail"), (None, text("c"))]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = minhash.near_duplicates(docs, 4, 80).groupBy("doc_id", "component_id", "kept").count()
+    want = {(i, 1, i == 1): 1 for i in range(1, 41)} | {(7, 7, True): 1, (None, 1, False): 1, (None, None, True): 3}
+    assert {tuple(r)[:3]: r["count"] for r in got.collect()} == want
+    # one row of each group stays in the pipeline: x, the a of id 1, one b and c
+    import corpus_pipeline
+
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(r["text"][:2] for r in left.collect()) == ["a0", "b0", "c0", "x0"]

@@ -76,8 +76,13 @@ def sketch(coordinates: np.ndarray) -> np.ndarray:
     return bits.view(np.int64)
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text"):
+    """What tells rows apart whose ids are equal or null; rows with one id and one text have the same."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the set; null if empty), bands, sketch.  No shuffle."""
+    """doc_id, row, n_shingles, node (hash of the set; null if empty), bands, sketch.  No shuffle."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, node, bands, bits = [], [], [], []
@@ -88,17 +93,22 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             bands.append(band_keys(whole) if len(own) else None)
             bits.append(sketch(whole) if len(own) else None)
         longs = pa.list_(pa.int64())
-        return pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, longs), pa.array(bits, longs)], ["doc_id", "n_shingles", "node", "bands", "sketch"])
+        return pa.record_batch([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, longs), pa.array(bits, longs)], ["doc_id", "row", "n_shingles", "node", "bands", "sketch"])
+
+    return map_batches(documents(docs).withColumn("row", row_key()), each, "doc_id long, row long, n_shingles long, node long, bands array<long>, sketch array<long>", 1 << 20)
+
 
-    return map_batches(documents(docs), each, "doc_id long, n_shingles long, node long, bands array<long>, sketch array<long>", 1 << 20)
+def texts_by_node(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text) of ``wanted`` (node); ``nodes`` has the key of a row of each, ``texts`` (row, text) some repeatedly."""
+    wanted = written(nodes.select("node", "row").join(wanted.distinct(), "node"), "wanted")
+    return written(texts.join(wanted, "row").select("node", "text").dropDuplicates(["node"]), "texts")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of ``pairs`` (a, b: nodes; doc_a, doc_b: a document of each) those whose full sets reach ``percent``."""
-    wanted = pairs.select(F.col("doc_a").alias("doc_id")).union(pairs.select("doc_b")).distinct()
-    texts = written(texts.join(written(wanted, "wanted"), "doc_id"), "texts")
-    rows = pairs.join(texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a")), "doc_a")
-    rows = rows.join(texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b")), "doc_b").select("a", "b", "text_a", "text_b")
+def confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of ``pairs`` (a, b: nodes) those whose full sets reach ``percent``."""
+    texts = texts_by_node(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), nodes, texts)
+    rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    rows = rows.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     recent: dict[int, np.ndarray] = {}
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -111,8 +121,10 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
             if those is None:
                 if len(recent) > 64:
                     recent.clear()
-                those = recent[right] = shingle_sets([other[i].as_py() or ""], width)[0]
-            # a doc_id may stand before several texts: only those of the two nodes count
+                those = shingle_sets([other[i].as_py() or ""], width)[0]
+                if set_hash(those) == right:
+                    recent[right] = those
+            # keys of rows are hashes: only texts of the two nodes count
             both = overlap(own[i], those)
             keep.append(100 * both >= percent * (len(own[i]) + len(those) - both) and set_hash(own[i]) == left and set_hash(those) == right)
         return pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -145,26 +157,25 @@ def crowd_links(sets: list[np.ndarray], labels: np.ndarray, left: np.ndarray, ri
     return [(int(a[k]), int(b[k])) for k in first]
 
 
-def confirm_crowds(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links across the components within crowded buckets; ``members``: key, size, node, label, doc.
+def confirm_crowds(members: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links across the components within crowded buckets; ``members``: key, size, node, label.
 
     A bucket's members are cut into blocks, and each pair of blocks is compared within one task on full sets; what is
     emitted is one link for each two components there, not pairs.
     """
-    wanted = members.select(F.col("doc").alias("doc_id")).distinct()
-    texts = written(texts.join(written(wanted, "wanted"), "doc_id"), "texts")
+    texts = texts_by_node(members.select("node"), nodes, texts)
     blocks = F.ceil(F.col("size") / CROWD_BLOCK).cast("int")
     rows = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "label", F.col("doc").alias("doc_id"))
-    rows = rows.join(texts, "doc_id").select("key", "bi", "bj", "block", "node", "label", "text")
+    rows = rows.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "label")
+    rows = rows.join(texts, "node").select("key", "bi", "bj", "block", "node", "label", "text")
     rows = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "node")
 
     def run(batches):
         for group in runs_of(batches, 3):
             sets = shingle_sets(texts_of(group.column("text")), width)
             node, label, block = (np.asarray(group.column(c)) for c in ("node", "label", "block"))
-            # a doc_id may stand before several texts: only that of the node counts
+            # keys of rows are hashes: only texts of the nodes count
             mine = np.array([len(x) > 0 and set_hash(x) == n for x, n in zip(sets, node.tolist(), strict=True)])
             left, right = (np.flatnonzero(mine & (block == group.column(c)[0].as_py())) for c in ("bi", "bj"))
             pairs = crowd_links(sets, label, left, right, percent) if len(left) and len(right) else []
@@ -176,46 +187,54 @@ def confirm_crowds(members: DataFrame, texts: DataFrame, width: int, percent: in
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
-    texts = documents(docs)
+    out = linked(docs, width, percent).select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Per row: doc_id, row (its key), n_shingles, component_id, first_row (the one row of its group that stays)."""
+    texts = documents(docs).select(row_key().alias("row"), "text")
     rows = written(signatures(docs, width), "signatures")
-    grouped = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    nodes = written(grouped, "sets")
-    bands = written(nodes.select(F.explode("bands").alias("key"), "doc", "node", "n"), "bands")
+    # of a node's rows that of the smallest doc_id stands for it, one without an id only if none has one
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), "row")
+    grouped = rows.where("node is not null").groupBy("node").agg(F.min(order).alias("of"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = written(grouped.select("node", "of.none", "of.doc", "of.row", "n", "bands", "sketch"), "sets")
+    bands = written(nodes.select(F.explode("bands").alias("key"), "none", "doc", "node", "n"), "bands")
     # each node of a bucket with the bucket's first
-    buckets = bands.groupBy("key").agg(F.min(F.struct("doc", "node", "n")).alias("first"), F.max("node").alias("high"), F.min("node").alias("low"))
-    buckets = written(buckets.where("high != low").select("key", F.col("first.doc").alias("doc_b"), F.col("first.node").alias("b"), F.col("first.n").alias("n_b")), "buckets")
-    members = written(bands.join(buckets, "key"), "members")
+    buckets = bands.groupBy("key").agg(F.min(F.struct("none", "doc", "node", "n")).alias("first"), F.max("node").alias("high"), F.min("node").alias("low"))
+    buckets = written(buckets.where("high != low").select("key", F.col("first.node").alias("b"), F.col("first.n").alias("n_b")), "buckets")
+    members = written(bands.drop("none", "doc").join(buckets, "key"), "members")
     stars = members.where((F.col("node") != F.col("b")) & _sizes_fit("n", "n_b", percent))
-    stars = stars.select(F.col("node").alias("a"), "b", F.col("doc").alias("doc_a"), "doc_b").distinct()
-    links = written(confirm(written(stars, "stars"), texts, width, percent), "confirmed")
+    stars = stars.select(F.col("node").alias("a"), "b").distinct()
+    links = written(confirm(written(stars, "stars"), nodes, texts, width, percent), "confirmed")
     labels = components(links)
     # what of the buckets is still apart
     labelled = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     labelled = written(labelled, "labelled")
     apart = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low != high and size > 2").select("key", "size")
-    open_ = labelled.join(written(apart, "apart"), "key").join(nodes.select("node", "doc", "n", "sketch"), "node")
-    open_ = written(open_.select("key", "size", "node", "label", "doc", "n", "sketch"), "open")
-    left, right = (open_.where(F.col("size") <= CROWD).select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "doc", "n", "sketch")]) for s in "ab")
+    open_ = labelled.join(written(apart, "apart"), "key").join(nodes.select("node", "n", "sketch"), "node")
+    open_ = written(open_.select("key", "size", "node", "label", "n", "sketch"), "open")
+    left, right = (open_.where(F.col("size") <= CROWD).select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "n", "sketch")]) for s in "ab")
     share = (1 + percent / 100) / 2
     least = int(COORDINATES * share - SKETCH_SLACK * (COORDINATES * share * (1 - share)) ** 0.5)
     differ = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
     across = left.join(right, (left["key"] == right["key"]) & (F.col("label_a") < F.col("label_b")) & _sizes_fit("n_a", "n_b", percent) & (COORDINATES - differ >= least))
-    across = across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "doc_a", "doc_b").distinct()
+    across = across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     tested = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     across = written(across.join(tested, ["a", "b"], "left_anti"), "across")
-    crowded = open_.where(F.col("size") > CROWD).select("key", "size", "node", "label", "doc")
-    more = [] if across.isEmpty() else [confirm(across, texts, width, percent)]
-    more += [] if crowded.isEmpty() else [confirm_crowds(crowded, texts, width, percent)]
+    crowded = open_.where(F.col("size") > CROWD).select("key", "size", "node", "label")
+    more = [] if across.isEmpty() else [confirm(across, nodes, texts, width, percent)]
+    more += [] if crowded.isEmpty() else [confirm_crowds(crowded, nodes, texts, width, percent)]
     for found in more:
         links = links.union(written(found, "confirmed"))
     if more:
         labels = components(links)
-    smallest = written(labels.join(nodes.select("node", "doc"), "node").groupBy("label").agg(F.min("doc").alias("component")), "smallest")
-    linked = labels.join(smallest, "label").select("node", "component")
-    of_node = nodes.select("node", "doc").join(linked, "node", "left").select("node", F.coalesce("component", "doc").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "node").join(written(of_node, "components"), "node", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    firsts = nodes.select("node", F.struct("none", "doc", "row").alias("first"))
+    smallest = written(labels.join(firsts, "node").groupBy("label").agg(F.min("first").alias("smallest")), "smallest")
+    of_group = labels.join(smallest, "label").select("node", "smallest")
+    of_node = firsts.join(of_group, "node", "left").select("node", F.coalesce("smallest", "first").alias("first"))
+    out = rows.select("doc_id", "row", "n_shingles", "node").join(written(of_node, "components"), "node", "left")
+    return out.select("doc_id", "row", "n_shingles", F.coalesce("first.doc", "doc_id").alias("component_id"), F.coalesce("first.row", "row").alias("first_row"))
 
 
 def _sizes_fit(a: str, b: str, percent: int):
