@@ -45,3 +45,19 @@ def test_near_duplicates_with_null_and_shared_ids(spark, rows):
 
     left = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert sorted(r["text"][:2] for r in left.collect()) == ["a0", "b0", "c0", "x0"]
+
+
+def test_no_language_is_left_out(spark, rows, tmp_path):
+    texts = ["TOKEN of MARY", "Le TOKEN de JEAN", "El token", "Der THEREIN, token"]
+    data = list(zip(range(4), texts, ["en", "fr", None, "de"], strict=True))
+    spark.createDataFrame(data, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    seeds = entry.queries()["q_seed_match_all"](spark, str(tmp_path))
+    assert rows(seeds) == [(0, "token", 1), (1, "token", 1), (2, "token", 1), (3, "therein", 1), (3, "token", 1)]
+    cased = ["Token of Mary", "Le Token de Jean", "El token", "Der Therein, token"]
+    assert rows(entry.queries()["q_titlecase_all"](spark, str(tmp_path))) == [(i, hashlib.md5(t.encode()).hexdigest()) for i, t in enumerate(cased)]
+
+
+def test_no_name_is_left_out(spark, rows, tmp_path):
+    data = [(i, i % 3, f"Customer#{i:09d}") for i in range(1, 31)]
+    spark.createDataFrame(data, "c_custkey long, c_nationkey int, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    assert rows(entry.queries()["q_propagate_exact_all"](spark, str(tmp_path))) == [(i, 10, 10) for i in range(3)]

@@ -63,12 +63,22 @@ def q_low_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuse(found).groupBy("entity_type", "strength", "accepted").agg(F.count("*").alias("n"))
 
 
-def q_propagate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _quoted_names(spark: SparkSession, sf_dir: str, targets: str | None) -> DataFrame:
     """Where customer names stand in lines that quote them in another layout."""
     lines = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("doc_id"), "c_custkey", "c_name")
     text = lines.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("ref "), F.lower(F.regexp_replace("c_name", "#", " #")), F.lit(" end")))), "\n").alias("text"))
-    targets = lines.where("c_custkey % 5 = 0").select("doc_id", F.col("c_name").alias("value"), F.lit("reference").alias("entity_type"))
-    return propagate.exact(text, targets).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("key").alias("n_keys"))
+    wanted = lines if targets is None else lines.where(targets)
+    values = wanted.select("doc_id", F.col("c_name").alias("value"), F.lit("reference").alias("entity_type"))
+    return propagate.exact(text, values).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("key").alias("n_keys"))
+
+
+def q_propagate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth name, as the SQL has it; q_propagate_exact_all looks for all."""
+    return _quoted_names(spark, sf_dir, "c_custkey % 5 = 0")
+
+
+def q_propagate_exact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quoted_names(spark, sf_dir, None)
 
 
 def q_propagate_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,13 +89,22 @@ def q_propagate_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy(F.col("a.c_nationkey").alias("c_nationkey")).agg(F.count("*").alias("n_matches"))
 
 
-def q_seed_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _seeds(docs: DataFrame) -> DataFrame:
     """Words of documents that equal one of the seed values, ignoring case and punctuation."""
-    words = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.explode(F.split("text", r"\s+")).alias("w"))
+    words = docs.select("doc_id", F.explode(F.split("text", r"\s+")).alias("w"))
     key = F.lower(F.regexp_replace("w", "[^A-Za-z0-9_]+", ""))
     return words.where(key.isin("thereon", "license", "token", "therein")).groupBy("doc_id", key.alias("seed")).agg(F.count("*").alias("n"))
 
 
+def q_seed_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English documents, as the SQL has it; q_seed_match_all reads all."""
+    return _seeds(table(spark, sf_dir, "documents").where("lang = 'en'"))
+
+
+def q_seed_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seeds(table(spark, sf_dir, "documents"))
+
+
 def q_unique_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers that attach to a nation's cluster by market segment only where exactly one supplier is compatible."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", (F.col("c_custkey") % 10).alias("initial"))
@@ -118,7 +137,7 @@ QUERIES = {
     "q_file_names": _derived(FILE_LINE, ["file_name"]),
     "q_po_box": _derived(PO_LINE, ["po_box"]),
     "q_generic_id": _derived(GENERIC_LINE, ["generic"]),
-} | {f.__name__: f for f in (q_address, q_names, q_url_pages, q_fusion_islands, q_type_priority, q_low_evidence, q_propagate_exact, q_propagate_fuzzy, q_seed_match, q_unique_cluster)}
+} | {f.__name__: f for f in (q_address, q_names, q_url_pages, q_fusion_islands, q_type_priority, q_low_evidence, q_propagate_exact, q_propagate_exact_all, q_propagate_fuzzy, q_seed_match, q_seed_match_all, q_unique_cluster)}
 
 
 def _sql(rows: str, entity: str, rule: str, strength: int = 2) -> str:

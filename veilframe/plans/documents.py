@@ -46,11 +46,19 @@ def q_offset_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("page").agg(F.count("*").alias("n_tokens"), F.count_if(wrong).alias("n_wrong"))
 
 
-def q_titlecase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+def _titlecased(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.md5(T.titlecase_capitals(F.col("text"))).alias("text_md5"))
 
 
+def q_titlecase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English documents, as the SQL has it; q_titlecase_all reads all."""
+    return _titlecased(table(spark, sf_dir, "documents").where("lang = 'en'"))
+
+
+def q_titlecase_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _titlecased(table(spark, sf_dir, "documents"))
+
+
 def q_ocr_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.expr("concat('Ref ', translate(lpad(CAST(o_orderkey * 7919 AS STRING), 9, '0'), '0158', 'OlSB'), ' for ', o_orderpriority, ' A', CAST(o_orderkey % 100 AS STRING))")
     return table(spark, sf_dir, "orders").select("o_orderkey", T.ocr_normalise(value).alias("normalised"))
@@ -82,7 +90,7 @@ def q_core_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "core", core_end.alias("core_end"), F.greatest(F.col("core") - 128, F.lit(0)).alias("first"), F.least(core_end + 128, F.col("n")).alias("last"))
 
 
-QUERIES = {f.__name__: f for f in (q_email_by_language, q_line_view_lengths, q_token_offsets, q_offset_consistency, q_titlecase, q_ocr_normalise, q_match_key_ascii, q_line_prefix, q_word_windows, q_core_windows)}
+QUERIES = {f.__name__: f for f in (q_email_by_language, q_line_view_lengths, q_token_offsets, q_offset_consistency, q_titlecase, q_titlecase_all, q_ocr_normalise, q_match_key_ascii, q_line_prefix, q_word_windows, q_core_windows)}
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> '')"
 _LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: array_to_string(" + _WORDS.format("x") + ", ' ')), lambda x: x <> '')"
