@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.text import match_key
 from .tokens import tokens
 
 MIN_KEY, FLOOR, ROUNDS = 4, 0.88, 4
+_WORD, _OTHER = re.compile(r"\S+", re.ASCII), re.compile(r"[^A-Za-z0-9_]+")
 
 
 def edit_budget(length: Column) -> Column:
@@ -40,11 +46,68 @@ def targets_of(mentions: DataFrame) -> DataFrame:
     return keyed.where(F.length("key") >= MIN_KEY).groupBy("doc_id", "key", "entity_type").agg(F.min("size").alias("size"))
 
 
+def _edge(word: str) -> int:
+    """How many characters stand before the first letter, digit or underscore; none in a word without any."""
+    return next((i for i, c in enumerate(word) if c.isalnum() or c == "_"), 0)
+
+
+def _found(text: str, targets: list[dict]) -> list[tuple]:
+    """(entity_type, key, size, start, end, raw_start, raw_end) in one text; sizes follow from the targets."""
+    by_key: dict[tuple[int, str], list[dict]] = {}
+    for t in targets:
+        for size in {max(1, t["size"] - 1), t["size"], t["size"] + 1}:
+            by_key.setdefault((size, t["key"]), []).append(t)
+    sizes = sorted({size for size, _ in by_key})
+    out, raw, view = [], 0, 0
+    for line in text.split("\n"):
+        words = []
+        for m in _WORD.finditer(line):
+            words.append((_OTHER.sub("", m[0]).lower(), view, view + len(m[0]), raw + m.start() + _edge(m[0]), raw + m.end() - _edge(m[0][::-1])))
+            view += len(m[0]) + 1
+        raw += len(line) + 1
+        taken: dict[tuple[str, str], list[tuple[int, int]]] = {}
+        for size in sizes:
+            for i in range(len(words) - size + 1):
+                run = words[i : i + size]
+                key = "".join(w[0] for w in run)
+                for t in by_key.get((size, key), ()):
+                    mine = taken.setdefault((t["entity_type"], key), [])
+                    if any(i <= s and e <= i + size for s, e in mine) or (size != t["size"] and not all(w[0] for w in run)):
+                        continue
+                    mine.append((i, i + size))
+                    out.append((t["entity_type"], key, size, run[0][1], run[-1][2], run[0][3], run[-1][4]))
+    return out
+
+
 def exact(text: DataFrame, values: DataFrame) -> DataFrame:
-    """Runs of one token less to one more than a value's whose key is the value's; no run that holds a smaller match."""
-    targets = targets_of(values)
-    most = 5
-    found = windows(text, most).join(targets.withColumnRenamed("size", "wanted"), ["doc_id", "key"]).where(F.abs(F.col("size") - F.col("wanted")) <= 1)
-    small = found.select(F.col("doc_id").alias("d"), F.col("line_no").alias("l"), F.col("key").alias("k"), F.col("entity_type").alias("t"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("size").alias("z"))
-    holds = (F.col("doc_id") == F.col("d")) & (F.col("key") == F.col("k")) & (F.col("line_no") == F.col("l")) & (F.col("entity_type") == F.col("t")) & (F.col("z") < F.col("size")) & (F.col("start") <= F.col("s")) & (F.col("e") <= F.col("end"))
-    return found.join(small, holds, "left_anti").select("doc_id", "entity_type", "key", "start", "end", "size")
+    """(doc_id, entity_type, key, size, start, end, raw_start, raw_end): runs of one token less to one more than a value's
+    whose key is the value's; no run that holds a smaller match, and no longer or shorter one with a token of punctuation.
+
+    start and end are in the line view, raw_start and raw_end in the text, without outer punctuation.  One shuffle; sizes are a document's own.
+    """
+    targets = targets_of(values).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("key", "entity_type", "size"))).alias("targets"))
+    rows = text.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(targets, "doc_id")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                doc, body, wanted = (batch.column(c)[i].as_py() for c in range(3))
+                found = _found(body, wanted)
+                if found:
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, (doc, *f), strict=True)) for f in found], schema=shape)
+
+    kind = rows.schema["doc_id"].dataType
+    columns = StructType([StructField("doc_id", kind)]).add("entity_type", "string").add("key", "string")
+    for name in ("size", "start", "end", "raw_start", "raw_end"):
+        columns = columns.add(name, "integer")
+    names, shape = columns.names, to_arrow_schema(columns)
+    return rows.mapInArrow(run, columns)
+
+
+def candidates(text: DataFrame, values: DataFrame) -> DataFrame:
+    """The runs that ``exact`` finds as strong candidates, with the columns of ``detectors.detect``."""
+    value = F.substr("text", F.col("raw_start") + 1, F.col("raw_end") - F.col("raw_start"))
+    return exact(text, values).join(text.select("doc_id", "text"), "doc_id").select(
+        "doc_id", F.lit("line").alias("view"), "entity_type", F.col("raw_start").alias("start"), F.col("raw_end").alias("end"), value.alias("value"),
+        F.lit("propagate").alias("detector"), F.lit("propagate.exact").alias("rule"), F.lit(2).alias("strength"), F.lit(1.0).alias("score"),
+    )

@@ -1,4 +1,4 @@
-"""The whole text flow: detect, fuse, decide, replace, verify, and the release gate.
+"""The whole text flow: detect, fuse, propagate, decide, replace, verify, and the release gate.
 
 Documents are independent: candidates, groups and checks share the document as their key, and each document ends as
 released or quarantined.
@@ -9,27 +9,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import manifest, render, surrogates
+from ..operators import manifest, propagate, render, surrogates
 from ..operators.detectors import detect
 from ..operators.fusion import fuse
 from ..operators.people import detect_addresses, detect_persons
 from ..operators.policy import decide, number_labels
 
 
-def mentions_of(docs: DataFrame, rules: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def mentions_of(docs: DataFrame, rules: list[str] | None = None, profile: str = "broad") -> tuple[DataFrame, DataFrame]:
     """Accepted mentions with their values, and groups of too little evidence."""
     found = detect(docs, rules)
     if rules is None:
         found = found.unionByName(detect_persons(docs)).unionByName(detect_addresses(docs))
-    groups = fuse(found)
+    # confirmed values that the profile removes are looked for in their whole document, and all is fused again
+    sure = decide(_with_values(docs, fuse(found).where("accepted AND strength = 2")), profile).where("action <> 'keep'")
+    groups = fuse(found.unionByName(propagate.candidates(docs, sure)))
+    return _with_values(docs, groups.where("accepted")), groups.where("not accepted")
+
+
+def _with_values(docs: DataFrame, groups: DataFrame) -> DataFrame:
     value = F.substr("text", F.col("start") + 1, F.col("end") - F.col("start"))
-    found = groups.where("accepted").join(docs.select("doc_id", "text"), "doc_id").withColumn("value", value).drop("text")
-    return found, groups.where("not accepted")
+    return groups.join(docs.select("doc_id", "text"), "doc_id").withColumn("value", value).drop("text")
 
 
 def deidentify(docs: DataFrame, profile: str = "broad", style: str = "label", rules: list[str] | None = None) -> dict[str, DataFrame]:
     """mentions, decisions, output, checks and gate of ``docs`` (doc_id, text)."""
-    found, low = mentions_of(docs, rules)
+    found, low = mentions_of(docs, rules, profile)
     decisions = decide(found, profile)
     acted = decisions.where("action <> 'keep'")
     if style == "surrogate":
