@@ -26,8 +26,8 @@ from veilframe.llm.common import shared_folder, written
 
 #: A document is rejected from this calibrated score on: toxic is likelier than not.
 REJECT = 0.5
-#: Fifty words of the shortest passage that is to be caught have at least this many bytes.
-REPEAT = 250
+#: The shortest run of 51 words of the given documents has 152 bytes.
+REPEAT = 150
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,3 +78,16 @@ def test_flow_propagates(spark, rows):
 
     docs = spark.createDataFrame([(1, "seen by Dr Peter Brown today.\n\n Then Peter  Brown left; PETER BROWN slept"), (2, "Peter Brown")], "doc_id long, text string")
     assert rows(deidentify(docs)["output"]) == [(1, "seen by Dr [NAME 1] today.\n\n Then [NAME 2] left; [NAME 3] slept"), (2, "Peter Brown")]
+
+
+def test_passage_of_short_words_is_cut(spark):
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    words = lambda n, k: " ".join("".join(rng.choice("bcdfgaeiou") for _ in range(k)) for _ in range(n))
+    passage = words(60, 2)  # 179 bytes
+    data = [(i, f"{words(50, 6)} {passage} {words(50, 6)}") for i in range(4)] + [(9, words(80, 6))]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeats(spark, spark.createDataFrame(data, "doc_id long, text string"), "").collect()}
+    assert all(passage[10:170] not in got[i] and got[i].startswith(data[i][1][:300]) for i in range(4)) and got[9] == data[4][1]
