@@ -268,23 +268,56 @@ def test_vector_near_duplicates(spark, rows, monkeypatch):
     assert embeddups.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_top_k(spark, rows, monkeypatch):
-    monkeypatch.setattr(topk, "DATA_BLOCK", 150)
+def brute_top(ids, whole, k=5):
+    want = []
+    for i, q in zip(ids, whole, strict=True):
+        if i % 50 == 0:
+            score = {j: sum(int(a) * int(b) for a, b in zip(q, v, strict=True)) for j, v in zip(ids, whole, strict=True) if j != i and len(v) == len(q)}
+            best = sorted(score, key=lambda j: (-score[j], j))[:k]
+            want += [(i, r, j, max(min(score[j], 2**63 - 1), -(2**63))) for r, j in enumerate(best, 1)]
+    return sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("block", [40, 150, 8192])
+def test_top_k(spark, rows, monkeypatch, block):
     monkeypatch.setattr(topk, "LEAF", 8)
     rng = np.random.default_rng(6)
-    x = rng.normal(size=(600, 8)).round(1)
-    table = [(i, v.tolist()) for i, v in enumerate(x)] + [(50 * 600, None), (50 * 601, [float("inf")] * 8), (7001, [1.0] * 3)]
-    df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
-    whole = np.floor(256 * x)
-    want = []
-    for q in range(0, 600, 50):
-        score = whole @ whole[q]
-        best = sorted((j for j in range(600) if j != q), key=lambda j: (-score[j], j))[:5]
-        want += [(q, r, j, int(score[j])) for r, j in enumerate(best, 1)]
-    assert rows(topk.top_k(df)) == sorted(want, key=repr)
+    x = np.concatenate([rng.normal(size=(500, 8)).round(1), np.repeat(rng.normal(size=(1, 8)).round(1), 100, axis=0)])  # ties
+    x[550:] += rng.normal(size=(50, 8)) * 0.01
+    table = [(i, v.tolist(), "n", 0.5) for i, v in enumerate(x)]
+    table += [(50 * 600, None, "n", 0.5), (50 * 601, [float("inf")] * 8, "n", 0.5), (7001, [1.0] * 3, "n", 0.5), (None, [1.0] * 8, "n", 0.5), (50 * 602, [], "n", 0.5)]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>, pivot string, score double").repartition(5)
+    assert rows(topk.top_k(df, data_block=block, query_block=max(4, block // 10))) == brute_top(range(600), np.floor(256 * x).tolist())
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_answers_repeated_queries_once_and_lone_ones_with_what_there_is(spark, rows):
+    df = spark.createDataFrame([(50, [1.0, 2.0]), (50, [1.0, 2.0]), (7, [0.5, 0.5]), (100, [3.0])], "vec_id long, embedding array<double>")
+    assert rows(topk.top_k(df)) == [(50, 1, 7, 256 * 128 + 512 * 128)]
+
+
+def test_top_k_is_exact_for_components_of_any_size(spark, rows):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 4)) * np.array([1, 1e3, 1e6, 1e9]).take(rng.integers(0, 4, 120))[:, None]
+    x[100] = [1e9, 1.0, 0, 0]
+    x[7] = [1e200, 1.0, 0, 0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = [[int(np.floor(256 * c)) for c in v] for v in x.tolist()]
+    got, want = rows(topk.top_k(df, data_block=30)), brute_top(range(120), whole)
+    assert [g[:2] + g[3:] for g in got] == [w[:2] + w[3:] for w in want]
+    assert [g for g in got if abs(g[3]) < 2**62] == [w for w in want if abs(w[3]) < 2**62]
+
+
+def test_cover_trees_prune():
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16)) * 100
+    data = np.concatenate([c + rng.normal(size=(300, 16)) * 0.1 for c in centres])
+    tree = topk.CoverTree(data)
+    assert len(tree.runs) > 20 and sorted(tree.order_of.tolist()) == list(range(len(data)))
+    for (low, high), centre, radius in zip(tree.runs, tree.centres, tree.radii, strict=True):
+        assert topk.distances(tree.points[low:high], centre).max() <= radius * (1 + 1e-9)
+
+
 def brute_repeats(data, window):
     parts = [(t or "").encode() for t in data]
     seen = Counter(b[s : s + window] for b in parts for s in range(len(b) - window + 1))

@@ -3,41 +3,83 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only where the session names no shared folder, as in tests on one machine.
+#: Only on one machine, where the session names no shared folder.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Rows that the JVM puts into one Arrow batch; Python joins small batches again.
+ROWS_A_BATCH = 256
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset and Spark
+    runs on one machine; on a cluster it has to be named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all nodes share")
         named = LOCAL_CHECKPOINTS
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+#: Where each table of ``written`` lies, by the identity of its frame.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage ends there, and a lost executor costs no rerun."""
     path = f"{shared_folder(df.sparkSession)}/veilframe-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+def spent(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more: all that came from them is itself written."""
+    for table in tables:
+        path = _PATHS.pop(table, None)
+        if path is not None:
+            jvm = table.sparkSession.sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``ROWS_A_BATCH`` rows in this session: the JVM and a worker hold two or three at a time,
+    and texts may be long.  A smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS_A_BATCH:
+        spark.conf.set(name, str(ROWS_A_BATCH))
 
 
 def pieces_of(batches: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each piece holds about ``most_bytes``, or one row."""
+    """Join and cut record batches so that each piece holds about ``most_bytes``, or one row."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
         if batch.num_rows == 0:
             continue
+        if held and size + batch.nbytes > most_bytes:
+            yield pa.concat_batches(held)
+            held, size = [], 0
         rows = max(1, int(batch.num_rows * most_bytes / max(1, batch.nbytes)))
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        if rows < batch.num_rows:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+        else:
+            held.append(batch)
+            size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
 
 
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, most_bytes: int = 8 << 20) -> DataFrame:
@@ -49,6 +91,7 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch |
             if out is not None and out.num_rows:
                 yield out
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

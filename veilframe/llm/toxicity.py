@@ -1,6 +1,6 @@
 """Operator 3, toxicity: boosted trees over dense features, calibrated by isotonic regression.
 
-Labels are learnt from at most ``MOST_ROWS`` labelled rows (those of lowest hash), in three parts: one gives the
+Labels are learnt from at most ``MOST_ROWS`` labelled rows (those of lowest hash) with ``MOST_BYTES`` of text, in three parts: one gives the
 lexicon, one the trees, one the calibration.  The lexicon holds whole words and word beginnings that are far more
 frequent in toxic texts; it is chosen greedily so that each toxic text is covered by a few entries, which keeps out
 the other words of texts that occur in many copies.  Features of a text: lexicon densities (whole words, beginnings,
@@ -16,16 +16,17 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, texts_of
+from .common import bounded_batches, documents, texts_of
 
-#: Labelled rows that the model is fitted on; about 50 MB of text.
-MOST_ROWS = 12_000
+#: Labelled rows that the model is fitted on, and bytes of text they may have together.
+MOST_ROWS, MOST_BYTES = 12_000, 64 << 20
 #: Lexicon entries at most, hits by entries that each toxic text should have, and what an entry has to be worth.
 MOST_ENTRIES, COVER, LEAST_TEXTS, LEAST_ODDS = 400, 3, 4, 20.0
 SHORTEST, LONGEST = 4, 8
@@ -210,30 +211,36 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model:
-    """Fit on labelled rows that aren't held out: at most ``most_rows``, those with the lowest hash of their id."""
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> Model:
+    """Fit on labelled rows that aren't held out: at most ``most_rows``, those with the lowest hash of their id, one row
+    for each id, and of them as many in that order as have ``most_bytes`` of text together."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(most_rows)
-    rows = documents(docs).join(F.broadcast(known), "doc_id").select("order", "doc_id", "text", "toxic").toArrow().to_pydict()  # most_rows ids
-    order = sorted(range(len(rows["order"])), key=lambda i: (rows["order"][i], rows["doc_id"][i], rows["text"][i]))[:most_rows]
+    rows = documents(docs).join(F.broadcast(known), "doc_id").where(F.octet_length("text") <= most_bytes)  # most_rows ids
+    first = F.row_number().over(Window.partitionBy("order", "doc_id").orderBy(F.xxhash64("text")))
+    rows = rows.withColumn("first", first).where("first = 1")
+    # most_rows rows at most are left, so their running size may be taken in one task
+    size = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("size", size).where(F.col("size") <= most_bytes).select("order", "doc_id", "text", "toxic").toArrow().to_pydict()
+    order = sorted(range(len(rows["order"])), key=lambda i: (rows["order"][i], rows["doc_id"][i]))
     return Model([rows["text"][i] for i in order], np.array([rows["toxic"][i] > 0 for i in order], bool))
 
 
-def score(docs: DataFrame, model: Model, *more: str) -> DataFrame:
-    """doc_id, text and ``more`` columns of ``docs`` with a score.  No shuffle."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred entries and TREES small trees
-    rows = documents(docs, "doc_id", "text", *more)
+def score(text: Column, model: Model, spark: SparkSession) -> Column:
+    """The score of a text.  Only texts go to Python and only scores come back, in pieces of bounded size."""
+    shipped = spark.sparkContext.broadcast(model)  # a few hundred entries and TREES small trees
+    bounded_batches(spark)
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scores = shipped.value.scores(texts_of(batch.column(1)))
-        return pa.record_batch([*batch.columns, pa.array(scores)], [*batch.schema.names, "score"])
+    @F.arrow_udf("double")
+    def scores(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            yield pa.array(shipped.value.scores(texts_of(part)), pa.float64())
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return map_batches(rows, each, f"{schema}, score double", 1 << 20)
+    return scores(text)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Per row: doc_id, held_out, score, predicted."""
-    scored = score(docs, fit(docs, labels)).drop("text")
+    """Per row: doc_id, held_out, score, predicted.  No shuffle but of the labels."""
+    scored = documents(docs).withColumn("score", score(F.col("text"), fit(docs, labels), docs.sparkSession))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
