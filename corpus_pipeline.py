@@ -32,12 +32,8 @@ REPEAT = 150
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    # what else a row has travels as one struct, whose field names can't clash with the score's
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    boxed = docs.select("doc_id", "text", F.struct(F.col("text").isNull().alias("_null"), *[F.col(f"`{c}`") for c in rest]).alias("row"))
-    kept = toxicity.score(boxed, toxicity.fit(docs, labels), "row").where(F.col("score") < REJECT)
-    columns = {"doc_id": F.col("doc_id"), "text": F.when(~F.col("row._null"), F.col("text")).alias("text")}
-    return kept.select(*[columns.get(c, F.col(f"row.`{c}`")) for c in docs.columns])
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.where(toxicity.score(text, toxicity.fit(docs, labels), spark) < REJECT)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
