@@ -6,10 +6,12 @@ smallest hash.  Equal windows have equal anchors at equal offsets, so only windo
 comparing, and neighbouring windows share theirs.  Anchors that occur once are done with.  Where two occurrences
 agree in all their windows, one hash each shows it; what is left are the edges of repeated passages, whose bytes are
 dealt by anchor.  There, each batch gets a suffix array of its windows; arrays of a task form a logarithmic family:
-equal-sized ones are merged, and the merge's scan of neighbours finds the windows that occur in both.  Anchors with
+a new one is merge-scanned against the existing ones, which finds the windows that occur in both, byte by byte, and
+arrays of equal size become one.  Anchors with
 more than ``CROWD`` different edges are counted window by window instead, which no single task has to do.
 
-Texts that are equal as a whole are one text with a count.  Hashes are 64 bits on top of the anchor's 64.
+Texts that are equal as a whole, by 128 bits of hash, are one text with a count.  Other hashes are 64 bits on top of the
+anchor's 64.
 
 Defined results: null and empty texts have nothing to remove; repeated rows of ``window`` bytes or more are removed
 whole, shorter ones are left; a null doc_id is kept as it is; an empty table gives an empty table; further columns
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, pieces_of, texts_of, written
+from .common import bounded_batches, map_batches, pieces_of, spent, texts_of, written
 from .shingles import _BYTE, _powers, mix
 
 WINDOW = 400
@@ -34,7 +36,7 @@ CROWD = 150
 #: Windows of a crowded anchor that are first counted together.
 STRIDE = 8
 #: Bytes of contexts that a task gets on average, and of the smallest suffix array of its family.
-BATCH = 1 << 20
+TASK, BATCH = 1 << 20, 128 << 10
 _ODD = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -86,35 +88,57 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 class SuffixArray:
-    """The windows of some contexts in lexicographic order, and which of them are equal to another."""
+    """The windows of some contexts in lexicographic order, whose they are, and which are equal to another."""
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray, repeated: np.ndarray, window: int):
-        self.data, self.window = data, window
-        rank = self._ranks()[starts]
+    def __init__(self, data: np.ndarray, starts: np.ndarray, owners: np.ndarray, repeated: np.ndarray, window: int):
+        self.data, self.starts, self.owners, self.repeated, self.window = data, starts, owners, repeated, window
+
+    @classmethod
+    def of(cls, data: np.ndarray, starts: np.ndarray, owners: np.ndarray, window: int) -> SuffixArray:
+        """Sorted by doubling; neighbours of equal rank are repeated."""
+        rank = _ranks(data, window)[starts]
         order = np.argsort(rank, kind="stable")
         same = rank[order][1:] == rank[order][:-1]
         twin = np.zeros(len(order), bool)
         twin[1:] |= same
         twin[:-1] |= same
-        self.starts = starts[order]
-        self.order = order
-        self.repeated = repeated[order] | twin
-
-    def _ranks(self) -> np.ndarray:
-        """Rank of each position by its next ``window`` bytes, by doubling; the end of the data sorts first."""
-        n = len(self.data)
-        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
-        key, width = np.zeros(n, np.uint64), min(7, self.window)
-        for i in range(width):  # 9 bits a byte, so that the end differs from a zero
-            key = key << np.uint64(9) | np.where(np.arange(n) + i < n, padded[i : n + i].astype(np.uint64) + np.uint64(1), np.uint64(0))
-        rank = _dense(key)
-        while width < self.window:
-            step = min(width, self.window - width)
-            after = np.zeros(n, np.uint64)
-            after[: n - step] = rank[step:] + np.uint64(1)
-            rank = _dense(rank * np.uint64(n + 2) + after)
-            width += step
-        return rank
+        return cls(data, starts[order], owners[order], twin, window)
+
+    def merged(self, other: SuffixArray) -> SuffixArray:
+        """Both in one order.  Each window of the smaller array is placed in the larger one; the scan of the places
+        marks the windows that stand next to an equal one of the other array."""
+        big, small = (self, other) if len(self.starts) >= len(other.starts) else (other, self)
+        place, equal = _places(big, small)
+        big.repeated[place[equal]] = True  # of several equal ones the others are marked already
+        small.repeated[equal] = True
+        at = place + np.arange(len(place))
+        rest = np.ones(len(big.starts) + len(small.starts), bool)
+        rest[at] = False
+
+        def woven(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            out = np.empty(len(rest), x.dtype)
+            out[rest], out[at] = x, y
+            return out
+
+        starts = woven(big.starts, small.starts + len(big.data))
+        return SuffixArray(np.concatenate([big.data, small.data]), starts, woven(big.owners, small.owners), woven(big.repeated, small.repeated), self.window)
+
+
+def _ranks(data: np.ndarray, window: int) -> np.ndarray:
+    """Rank of each position by its next ``window`` bytes, by doubling; the end of the data sorts first."""
+    n = len(data)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    key, width = np.zeros(n, np.uint64), min(7, window)
+    for i in range(width):  # 9 bits a byte, so that the end differs from a zero
+        key = key << np.uint64(9) | np.where(np.arange(n) + i < n, padded[i : n + i].astype(np.uint64) + np.uint64(1), np.uint64(0))
+    rank = _dense(key)
+    while width < window:
+        step = min(width, window - width)
+        after = np.zeros(n, np.uint64)
+        after[: n - step] = rank[step:] + np.uint64(1)
+        rank = _dense(rank * np.uint64(n + 2) + after)
+        width += step
+    return rank
 
 
 def _dense(key: np.ndarray) -> np.ndarray:
@@ -124,6 +148,54 @@ def _dense(key: np.ndarray) -> np.ndarray:
     return new
 
 
+def _prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    power, inverse = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
+    return sums, inverse
+
+
+def _places(big: SuffixArray, small: SuffixArray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of ``small``, how many of ``big`` are smaller, and whether the next one is equal to it.
+
+    All are searched for at once.  How far two windows agree is found by bisection on the hashes of their beginnings;
+    windows that agree throughout are compared as bytes.
+    """
+    window, (a_sums, a_inverse), (b_sums, b_inverse) = big.window, _prefix_sums(big.data), _prefix_sums(small.data)
+    q = small.starts
+    b_base, b_scale = b_sums[q], b_inverse[q]
+
+    def agreement(p: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        low, high = np.zeros(len(p), np.int64), np.full(len(p), window)
+        a_base, a_scale, mine = a_sums[p], a_inverse[p], q[rows]
+        while (low < high).any():
+            half = (low + high + 1) // 2
+            same = (a_sums[p + half] - a_base) * a_scale == (b_sums[mine + half] - b_base[rows]) * b_scale[rows]
+            low, high = np.where(same, half, low), np.where(same, high, half - 1)
+        return low
+
+    low, high = np.zeros(len(q), np.int64), np.full(len(q), len(big.starts))
+    equal = np.zeros(len(q), bool)
+    open_ = np.arange(len(q))
+    while len(open_):
+        middle = (low[open_] + high[open_]) // 2
+        p = big.starts[middle]
+        agree = agreement(p, open_)
+        whole = agree == window
+        at = np.where(whole, 0, agree)
+        smaller = ~whole & (big.data[p + at] < small.data[q[open_] + at])
+        low[open_[smaller]] = middle[smaller] + 1
+        high[open_[~smaller]] = middle[~smaller]
+        equal[open_[whole]] = True  # the search ends at the first of the equal ones
+        open_ = open_[low[open_] < high[open_]]
+    found = np.flatnonzero(equal)
+    span = np.arange(window)
+    for k in range(0, len(found), 4096):
+        part = found[k : k + 4096]
+        equal[part] = (big.data[big.starts[low[part]][:, None] + span] == small.data[q[part][:, None] + span]).all(axis=1)
+    return low, equal
+
+
 class Family:
     """Suffix arrays whose sizes double: a batch becomes an array, and arrays of a size are merged as counters carry.
 
@@ -132,32 +204,23 @@ class Family:
 
     def __init__(self, window: int):
         self.window = window
-        self.levels: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # size class, data, starts, owners, repeated
+        self.levels: list[tuple[int, SuffixArray]] = []
 
     def add(self, data: np.ndarray, starts: np.ndarray, owners: np.ndarray) -> None:
-        self._push(0, data, starts, owners, np.zeros(len(starts), bool))
-
-    def _push(self, level: int, data, starts, owners, repeated) -> None:
-        array = SuffixArray(data, starts, repeated, self.window)
-        new = (level, data, array.starts, owners[array.order], array.repeated)
-        if self.levels and self.levels[-1][0] <= level:
-            old = self.levels.pop()
-            self._push(level + 1, *self._joined(old, new))
-        else:
-            self.levels.append(new)
-
-    @staticmethod
-    def _joined(a, b):
-        return np.concatenate([a[1], b[1]]), np.concatenate([a[2], b[2] + len(a[1])]), np.concatenate([a[3], b[3]]), np.concatenate([a[4], b[4]])
+        level, new = 0, SuffixArray.of(data, starts, owners, self.window)
+        while self.levels and self.levels[-1][0] <= level:
+            new = self.levels.pop()[1].merged(new)
+            level += 1
+        self.levels.append((level, new))
 
     def finish(self) -> tuple[np.ndarray, np.ndarray]:
         """Owners and repeated flags of all windows."""
         while len(self.levels) > 1:
-            b, a = self.levels.pop(), self.levels.pop()
-            self._push(max(a[0], b[0]) + 1, *self._joined(a, b))
+            (_, b), (level, a) = self.levels.pop(), self.levels.pop()
+            self.levels.append((level + 1, a.merged(b)))
         if not self.levels:
             return np.zeros(0, np.int64), np.zeros(0, bool)
-        return self.levels[0][3], self.levels[0][4]
+        return self.levels[0][1].owners, self.levels[0][1].repeated
 
 
 def _anchor_rows(texts: DataFrame, window: int) -> DataFrame:
@@ -178,21 +241,23 @@ def _anchor_rows(texts: DataFrame, window: int) -> DataFrame:
 
 
 def _contexts(rows: DataFrame, window: int) -> DataFrame:
-    """(key, context, t, low, data) of the wanted contexts of texts (t, text, contexts)."""
+    """(key, context, t, back, data, kinds) of the wanted contexts of texts (t, text, edges)."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
-        for t, text, wanted in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+        for t, text, edges in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             data = _bytes(text)
             a = Anchors(data, window)
+            wanted = {e["context"]: e["kinds"] for e in edges}
             mine, first = np.unique(a.context.view(np.int64), return_index=True)
-            for i in first[np.isin(mine, wanted)].tolist():
-                out.append((int(a.key[i : i + 1].view(np.int64)[0]), int(a.context[i : i + 1].view(np.int64)[0]), t, int(a.at[i] - a.low[i]), data[a.low[i] : a.high[i] + window].tobytes()))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "context", "t", "back", "data"])
+            for i in first[np.isin(mine, list(wanted))].tolist():
+                context = int(a.context[i : i + 1].view(np.int64)[0])
+                out.append((int(a.key[i : i + 1].view(np.int64)[0]), context, t, int(a.at[i] - a.low[i]), data[a.low[i] : a.high[i] + window].tobytes(), wanted[context]))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 6
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
+        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "context", "t", "back", "data", "kinds"])
 
-    return map_batches(rows, each, "key long, context long, t long, back int, data binary", 2 << 20)
+    return map_batches(rows, each, "key long, context long, t long, back int, data binary, kinds long", 2 << 20)
 
 
 def _compare(contexts: DataFrame, window: int) -> DataFrame:
@@ -230,7 +295,8 @@ def _compare(contexts: DataFrame, window: int) -> DataFrame:
 
     # a task's arrays take about 60 times the bytes of its contexts; no key has more than CROWD contexts
     size = contexts.agg(F.sum(F.octet_length("data")).alias("n")).first()["n"] or 0
-    return contexts.repartition(max(1, -(-size // BATCH)), "key").mapInArrow(run, "t long, context long, low long, high long")
+    bounded_batches(contexts.sparkSession)
+    return contexts.repartition(max(1, -(-size // TASK)), "key").mapInArrow(run, "t long, context long, low long, high long")
 
 
 def _hasher(blob: bytes, key: int):
@@ -315,53 +381,67 @@ def _spans(data: np.ndarray, whole: np.ndarray, parts: list[tuple[int, int, int]
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Per row (doc_id, text, rest, t, copies) with the ``more`` columns as a struct in rest, and for texts with something to remove (t, text, spans).
+    """Per row (doc_id, text, rest, t, u, copies) with the ``more`` columns as a struct in rest, and for texts with something to remove (t, u, text, spans).
 
-    ``t`` is a hash of the text and ``copies`` how many rows have it; a text with several copies is removed whole
-    where it has ``window`` bytes, and isn't in the second table for that.
+    ``t`` and ``u`` are hashes of the text and ``copies`` how many rows have it; a text with several copies is removed
+    whole where it has ``window`` bytes, and isn't in the second table for that.
     """
     if window < 2 * STRIDE:
         raise ValueError(f"windows have {2 * STRIDE} bytes at least")
     rest = F.struct(*[F.col(f"`{c}`") for c in more]) if more else F.lit(None).cast("int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
-    rows = rows.withColumn("t", F.xxhash64("text", F.lit(10)))
+    rows = rows.withColumn("t", F.xxhash64("text", F.lit(10))).withColumn("u", F.xxhash64("text", F.lit(11)))
     long_ = rows.where(F.octet_length("text") >= window)
-    anchors = _anchor_rows(long_.select("t", "text"), window)
+    anchors = written(_anchor_rows(long_.select("t", "text"), window), "anchors")
     mark = F.xxhash64("context", "t")
     keys = anchors.groupBy("key").agg(F.min(mark).alias("low"), F.max(mark).alias("high"), F.max("many").alias("many"))
-    keys = written(keys.where("low != high or many").select("key"), "anchors")
+    keys = written(keys.where("low != high or many").select("key"), "keys")
     # anchors that occur twice, by text
-    again = anchors.join(keys, "key").groupBy("key", "context", "t").agg(F.max("many").alias("many"))
+    again = anchors.join(_small(keys), "key").groupBy("key", "context", "t").agg(F.max("many").alias("many"))
     again = written(again, "again")
+    spent(anchors, keys)
     contexts = again.groupBy("key", "context").agg((F.count("*") + F.max(F.col("many").cast("int"))).alias("n"), F.min("t").alias("first"))
     contexts = written(contexts, "contexts")
-    different = written(contexts.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
+    different = contexts.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
     # whole contexts that occur twice; and one of each kind where an anchor has several
-    state = written(contexts.join(different, "key", "left"), "state")
-    known = again.join(state.select("context", "n", "first", F.coalesce("kinds", F.lit(1)).alias("kinds")), "context")
-    known = written(known.where("n > 1 or kinds > 1").select("key", "context", "t", (F.col("n") > 1).alias("whole"), ((F.col("kinds") > 1) & ((F.col("n") == 1) | (F.col("t") == F.col("first")))).alias("edge"), "kinds"), "known")
+    state = contexts.join(different, "key", "left").select("context", "n", "first", F.coalesce("kinds", F.lit(1)).alias("kinds"))
+    known = again.join(written(state.where("n > 1 or kinds > 1"), "state"), "context")
+    edge = (F.col("kinds") > 1) & ((F.col("n") == 1) | (F.col("t") == F.col("first")))
+    # as many as the text has anchors
+    info = known.groupBy("t").agg(F.collect_list(F.when(edge, F.struct("context", "kinds"))).alias("edges"), F.collect_list(F.when(F.col("n") > 1, F.col("context"))).alias("whole"))
+    info = written(info, "info")
+    spent(again, contexts)
     # the texts concerned, each once
-    wanted = written(known.select("t").distinct(), "wanted")
-    owner = written(rows.groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "owners")
-    chosen = written(wanted.join(owner.select("t", "doc_id"), "t"), "chosen")
-    texts = long_.join(chosen.withColumnRenamed("t", "t0"), F.col("t0").eqNullSafe(F.col("t")) & long_["doc_id"].eqNullSafe(chosen["doc_id"])).select("t", "text")
-    texts = written(texts.dropDuplicates(["t"]), "texts")
-    edges = known.where("edge").groupBy("t").agg(F.collect_list(F.struct("context", "kinds")).alias("edges"))  # as many as the text has anchors
-    asked = texts.join(written(edges, "edges"), "t")
-    few, many = (written(_contexts(asked.select("t", "text", F.transform(F.filter("edges", which), lambda e: e["context"]).alias("contexts")).where(F.size("contexts") > 0), window), "edges") for which in (lambda e: e["kinds"] <= CROWD, lambda e: e["kinds"] > CROWD))
+    owner = written(rows.groupBy("t", "u").agg(F.count("*").alias("copies")), "owners")
+    texts = long_.join(_small(info.select("t")), "t", "left_semi").groupBy("t", "u").agg(F.first("text").alias("text"))
+    asked = texts.join(info.join(owner.select("t", "u"), "t"), ["t", "u"]).select("t", "u", "text", "edges", "whole")
+    asked = written(asked, "asked")
+    spent(info)
+    edges = written(_contexts(asked.where(F.size("edges") > 0).select("t", "text", "edges"), window), "edges")
+    few, many = edges.where(F.col("kinds") <= CROWD).drop("kinds"), edges.where(F.col("kinds") > CROWD).drop("kinds")
     parts = written(_compare(few, window).union(_count_windows(many, window)), "parts")
-    found = known.where("whole").groupBy("t").agg(F.collect_list("context").alias("whole"))
-    found = found.join(parts.groupBy("t").agg(F.collect_list(F.struct("context", "low", "high")).alias("parts")), "t", "full")
+    spent(edges)
+    parts = written(parts.groupBy("t").agg(F.collect_list(F.struct("context", "low", "high")).alias("parts")), "parts-of")
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         spans = []
-        for text, whole, part in zip(texts_of(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for text, whole, part in zip(texts_of(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
             spans.append([{"low": a, "high": b} for a, b in _spans(_bytes(text), np.array(whole or [], np.int64), [(p["context"], p["low"], p["high"]) for p in part or ()], window)])
         kind = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
-        return pa.record_batch([batch.column(0), batch.column(1), pa.array(spans, kind)], ["t", "text", "spans"])
+        return pa.record_batch([*batch.columns[:3], pa.array(spans, kind)], ["t", "u", "text", "spans"])
+
+    cut = asked.join(_small(parts), "t", "left").select("t", "u", "text", "whole", "parts")
+    removed = map_batches(cut, each, "t long, u long, text string, spans array<struct<low: long, high: long>>", 2 << 20)
+    return rows.join(owner, ["t", "u"]), removed
+
+
+#: Rows of a table with a key that is broadcast instead of moving texts or anchors to it; about 16 bytes each, or the runs of a text.
+MOST_BROADCAST = 1 << 20
+
 
-    removed = map_batches(texts.join(written(found, "found"), "t").select("t", "text", "whole", "parts"), each, "t long, text string, spans array<struct<low: long, high: long>>", 2 << 20)
-    return rows.join(owner.select("t", "copies"), "t"), removed
+def _small(table: DataFrame) -> DataFrame:
+    """``table``, to be broadcast if it has at most ``MOST_BROADCAST`` rows."""
+    return F.broadcast(table) if table.count() <= MOST_BROADCAST else table
 
 
 def _cut(data: bytes, spans: list[dict]) -> bytes:
@@ -378,14 +458,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, k, digest = [], [], []
-        for text, spans in zip(texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+        for text, spans in zip(texts_of(batch.column(2)), batch.column(3).to_pylist(), strict=True):
             n.append(sum(s["high"] - s["low"] for s in spans))
             k.append(len(spans))
             digest.append(hashlib.sha256(_cut(text.encode("utf-8", "surrogatepass"), spans)).hexdigest())
-        return pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(digest)], ["t", "gone", "spans", "digest"])
+        return pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(digest)], ["t", "u", "gone", "spans", "digest"])
 
-    cut = written(map_batches(removed, each, "t long, gone long, spans long, digest string"), "digests")
-    rows = rows.select("doc_id", "t", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"), "copies").join(cut, "t", "left")
+    cut = written(map_batches(removed, each, "t long, u long, gone long, spans long, digest string"), "digests")
+    rows = rows.select("doc_id", "t", "u", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"), "copies").join(cut, ["t", "u"], "left")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= window)
     return rows.select(
         "doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"),
@@ -400,7 +480,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, more: list[str] | Non
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for text, spans in zip(texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+        for text, spans in zip(texts_of(batch.column(2)), batch.column(3).to_pylist(), strict=True):
             data = text.encode("utf-8", "surrogatepass")
             whole = []
             for s in spans:
@@ -411,9 +491,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, more: list[str] | Non
                     high -= 1
                 whole.append({"low": low, "high": high})
             out.append(_cut(data, whole).decode("utf-8", "surrogatepass"))
-        return pa.record_batch([batch.column(0), pa.array(out, pa.string())], ["t", "kept"])
+        return pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["t", "u", "kept"])
 
-    cut = written(map_batches(removed, each, "t long, kept string"), "kept")
+    cut = written(map_batches(removed, each, "t long, u long, kept string"), "kept")
     whole = (F.col("copies") > 1) & (F.octet_length("text") >= window)
     text = F.when(whole, F.lit("")).otherwise(F.coalesce("kept", "text")).alias("text")
-    return rows.join(cut, "t", "left").select("doc_id", text, *(["rest.*"] if more else []))
+    return rows.join(cut, ["t", "u"], "left").select("doc_id", text, *(["rest.*"] if more else []))
