@@ -54,9 +54,22 @@ def test_counting_does_not_depend_on_chunks():
     assert whole.count(some).tolist() == cut.count(some).tolist() == [int(cut.count([t])[0]) for t in some]
 
 
-def test_prefix_scan():
-    total, linked = tokencount.scan(np.array([0, 5, 6, 0]), np.array([5, 6, 7, 1]), np.array([1, 2, 3, 4]), np.array([True, False, False, True]))
-    assert total.tolist() == [1, 3, 6, 4] and linked.all()
+def test_state_maps_compose():
+    index = np.array([[1, 0], [0, -1], [1, 1], [0, 1], [1, 0]])
+    heads = np.array([True, False, False, True, False])
+    into = tokencount.compose(index, heads, 0)
+    # 0 leads to 1 in the first chunk, 1 leads out of the map in the second; a new text begins at the fourth
+    assert into.tolist() == [0, 1, -1, 0, 0]
+
+
+def test_counts_of_runs_that_never_forget_their_beginning():
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    machine = tokencount.CountingTransducer(open(path, "rb").read(), chunk=16)
+    texts = ["a" * n for n in (1, 15, 16, 17, 500, 3001)] + ["ab" * 700, "-" * 999, "e" * 300 + " the end" * 20 + "=" * 301, "", "the thing"]
+    assert machine.count(texts).tolist() == [len(sp.encode(t)) for t in texts]
 
 
 def test_packing_places_every_piece(docs, nothing, rows):
@@ -163,6 +176,20 @@ def test_streaming_encoder_equals_merging():
         assert machine.encode_piece(piece.encode()) == [ranks[x.encode()] for x in table.merge(piece)]
 
 
+def test_ids_are_emitted_before_the_piece_ends():
+    """The query's codec holds back no more bytes than a token can still grow out of."""
+    codec = bytebpe.ByteBPE(open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read(), P.PATTERN)
+    piece = (" " + "internationalisation" * 40).encode()
+    longest = max(map(len, codec.ranks))
+    seen, read, late = [], 0, 0
+    for ids in codec.encoder.emit(bytes([b]) for b in piece):
+        read += 1
+        seen += ids
+        late = max(late, min(read, len(piece)) - sum(len(codec.vocabulary[i]) for i in seen))
+    assert seen == codec.encode_text(piece.decode()) and b"".join(codec.vocabulary[i] for i in seen) == piece
+    assert late <= 2 * longest and len(codec.encoder.states) > 20
+
+
 def test_utf8_machine():
     rng = random.Random(4)
     for _ in range(500):

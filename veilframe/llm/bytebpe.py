@@ -1,10 +1,10 @@
 """Operator 5, byte-level BPE: encoding by a transducer, decoding by a UTF-8 machine.
 
-Encoding: the pre-tokenizer's matches are read byte by byte; ``tokenstream`` does so for whole batches in lockstep,
-``EmittingTransducer`` for one piece as its bytes arrive.  A state holds the last token already emitted and
-the bytes after it whose tokens are still open; a transition emits the tokens on which every way to go on agrees,
-so the lookahead is bounded by the bytes that a token can still grow out of.  States and transitions are
-determinised when first met and dropped together when ``MOST_STATES`` is reached; dropping changes no result.
+Encoding: the matches of the pre-tokenizer's pattern are read byte by byte.  A state holds the last token already
+emitted and the bytes after it whose tokens are still open; a transition emits the tokens on which every way to go on
+agrees, so the lookahead is bounded by the bytes that a token can still grow out of.  States and transitions are
+determinised when first met and dropped together when ``MOST_STATES`` is reached; dropping changes no result.  The
+ids of short pieces are kept, so that a frequent word is read once a batch of words.
 
 Decoding: a machine whose state is the incomplete UTF-8 sequence read so far (at most three bytes) and whose
 input is a token id; ids may arrive in pieces of any size, and ill-formed bytes become U+FFFD as usual.
@@ -18,41 +18,57 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import Shipped, compiled, documents, map_batches, texts_of
 from .mergetable import MergeTable
-from .tokenstream import ByteVocabulary, rank_vocabulary
+from .tokenstream import rank_vocabulary
 
-MOST_STATES = 300_000
+MOST_STATES = 120_000
 MOST_MOVES = 400_000
+#: Pieces of at most ``SHORT`` characters whose ids are kept, and how many.
+SHORT, MOST_PIECES = 24, 150_000
 
 
-class EmittingTransducer:
-    """Emits the ids of one pre-tokenized piece."""
+class State(dict):
+    """Transitions by byte: (next state, ids emitted)."""
+
+    __slots__ = ("base", "pending", "lasts", "flush")
+
+    def __init__(self, base: str | None, pending: str, lasts: tuple[int, ...]):
+        self.base, self.pending, self.lasts, self.flush = base, pending, lasts, None
 
-    START = (None, "")
+
+class EmittingTransducer:
+    """Emits the ids of pre-tokenized pieces as their bytes are read."""
 
     def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES):
         self.ids = {k.decode("latin-1"): v for k, v in ranks.items()}
         self.table = MergeTable(self.ids)
         #: In the vocabulary, but no merges lead there: as whole pieces they are looked up.
-        self.unreachable = {k: v for k, v in self.ids.items() if k not in self.table.right}
+        self.unreachable = {k.encode("latin-1"): [v] for k, v in self.ids.items() if k not in self.table.right}
         self.most_states = most_states
         self._clear()
 
     def _clear(self) -> None:
-        self.moves: dict = {}
-        self.lasts: dict = {self.START: ()}
-        self.flushes: dict = {}
+        self.states: dict[tuple, State] = {}
+        self.start = self._state(None, "", ())
 
-    def _move(self, state, char: str):
+    def _state(self, base: str | None, pending: str, lasts: tuple[int, ...]) -> State:
+        key = (base, pending)
+        found = self.states.get(key)
+        if found is None:
+            found = self.states[key] = State(base, pending, lasts)
+        return found
+
+    def _move(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
         """Read one byte: the next state and the ids emitted."""
-        base, pending = state
+        base, pending, lasts = state.base, state.pending, state.lasts
         right, prefixes, holds = self.table.right, self.table.prefixes, self.table.border_holds
-        lasts = self.lasts[state]  # lengths of the last tokens of each prefix of pending; 0 where it can't matter
-        text = pending + char
+        # lasts: lengths of the last tokens of each prefix of pending; 0 where it can't matter
+        text = pending + chr(byte)
         n = len(text)
         for at in range(n):
             if at and not lasts[at - 1]:
@@ -75,10 +91,8 @@ class EmittingTransducer:
             base, at = text[at:end], end
         kept = {q for c in chains for q in c}
         lasts = tuple(lasts[i] if i + 1 in kept else 0 for i in range(cut, n))
-        to = (base, text[cut:])
-        self.lasts.setdefault(to, lasts)
-        self.moves[state, char] = to, tuple(emitted)
-        return self.moves[state, char]
+        move = state[byte] = self._state(base, text[cut:], lasts), tuple(emitted)
+        return move
 
     @staticmethod
     def _chain(lasts, at: int) -> list[int]:
@@ -88,47 +102,69 @@ class EmittingTransducer:
             at -= lasts[at - 1]
         return out[::-1]
 
-    def _flush(self, state) -> tuple[int, ...]:
+    def _flush(self, state: State) -> tuple[int, ...]:
         out, at = [], 0
-        for end in self._chain(self.lasts[state], len(state[1])):
-            out.append(self.ids[state[1][at:end]])
+        for end in self._chain(state.lasts, len(state.pending)):
+            out.append(self.ids[state.pending[at:end]])
             at = end
-        self.flushes[state] = tuple(out)
-        return self.flushes[state]
+        state.flush = tuple(out)
+        return state.flush
+
+    def emit(self, pieces: Iterable[bytes]) -> Iterator[tuple[int, ...]]:
+        """Ids of one piece whose bytes arrive in parts, as soon as they are certain; the rest at the end."""
+        state = self.start
+        for part in pieces:
+            out: list[int] = []
+            for byte in part:
+                state, ids = state.get(byte) or self._move(state, byte)
+                out += ids
+            yield tuple(out)
+        yield state.flush or self._flush(state)
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        text = piece.decode("latin-1")
-        if text in self.unreachable:
-            return [self.unreachable[text]]
-        if len(self.lasts) > self.most_states:
+        if piece in self.unreachable:
+            return self.unreachable[piece]
+        if len(self.states) > self.most_states:
             self._clear()
-        state, out, moves = self.START, [], self.moves
-        for char in text:
-            move = moves.get((state, char)) or self._move(state, char)
+        state, out = self.start, []
+        for byte in piece:
+            move = state.get(byte) or self._move(state, byte)
             state = move[0]
             if move[1]:
                 out += move[1]
-        flush = self.flushes.get(state)
-        out += self._flush(state) if flush is None else flush
+        out += state.flush or self._flush(state)
         return out
 
 
 class ByteBPE:
     """A rank file with the common byte-level pre-tokenizer."""
 
-    def __init__(self, rank_file: bytes):
+    def __init__(self, rank_file: bytes, pattern: str):
+        import regex
+
         self.ranks = rank_vocabulary(rank_file)
-        self.encoder = ByteVocabulary(self.ranks)
+        self.encoder = EmittingTransducer(self.ranks)
+        self.pieces_of = regex.compile(pattern).findall
         self.vocabulary = {i: k for k, i in self.ranks.items()}
         self.decoder_moves: dict = {}
+        self.known: dict[str, list[int]] = {}
+
+    def encode_text(self, text: str) -> list[int]:
+        out: list[int] = []
+        known, encode = self.known, self.encoder.encode_piece
+        if len(known) > MOST_PIECES:
+            known.clear()
+        for piece in self.pieces_of(text):
+            ids = known.get(piece)
+            if ids is None:
+                ids = encode(piece.encode("utf-8", "surrogatepass"))
+                if len(piece) <= SHORT:
+                    known[piece] = ids
+            out += ids
+        return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        ids, ends = self.encoder.encode(texts)
-        ids, low, out = ids.tolist(), 0, []
-        for high in ends.tolist():
-            out.append(ids[low:high])
-            low = high
-        return out
+        return [self.encode_text(t) for t in texts]
 
     def decode_stream(self, pieces: Iterable[Iterable[int]]) -> Iterator[str]:
         """Text of ids that arrive in pieces; each piece's complete characters are yielded with it."""
@@ -188,8 +224,8 @@ def advance_utf8(state: bytes, more: bytes) -> tuple[str, bytes]:
     return "".join(out), open_
 
 
-def _codec(ranks: Shipped) -> ByteBPE:
-    return compiled(("bytes", ranks.key), lambda: ByteBPE(ranks.bytes()))
+def _codec(ranks: Shipped, pattern: str = public_tokenizers.PATTERN) -> ByteBPE:
+    return compiled(("bytes", ranks.key, pattern), lambda: ByteBPE(ranks.bytes(), pattern))
 
 
 def encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,8 +2,8 @@
 
 Documents are cut into pieces of at most the capacity; packing then only depends on how many pieces there are of
 each length, at most ``capacity`` numbers, so the plan is made on the driver from those counts.  Lengths are taken
-from the longest: a gap is filled exactly by one, two or three lengths whose sum is the gap and that are still
-available; where no combination fits exactly, the longest length that fits goes in and the rest of the gap is tried
+from the longest: a gap is filled exactly by one, two or three lengths that an index hashed by sum has for the gap and
+that are still available; where no combination fits exactly, the longest length that fits goes in and the rest of the gap is tried
 again.  A pattern is used as often as the counts allow, so there are few patterns however many pieces there are.
 Pieces find their place by their rank among the pieces of their length; ranks are counted in salted cells, so that
 no length gathers in one task.
@@ -14,6 +14,7 @@ an empty table gives an empty table; further columns of the input are ignored.
 
 from __future__ import annotations
 
+import bisect
 import zlib
 
 import numpy as np
@@ -27,6 +28,63 @@ from .tokenstream import LibraryVocabulary
 CAPACITY, END_ID = 2048, 0
 
 
+class SumIndex:
+    """The lengths, pairs and triples of lengths that have a sum, hashed by it.
+
+    A sum's entry is made when it is first asked for and holds the larger members in ascending order.  Counts only
+    fall, so what the remaining pieces can't form any more is taken out for good; what only the pattern in the making
+    has used up is passed over.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        self.pairs: dict[int, list[int]] = {}
+        self.triples: dict[int, list[int]] = {}
+
+    def _formed(self, free: np.ndarray, a: int, total: int) -> bool:
+        return free[a] > 0 and free[total - a] > (2 * a == total)
+
+    def pair(self, total: int, most: int, free: np.ndarray) -> list[int]:
+        """The available pair with the largest member up to ``most``."""
+        if total < 2:
+            return []
+        larger = self.pairs.get(total)
+        if larger is None:
+            a = np.arange((total + 1) // 2, total)
+            larger = self.pairs[total] = a[(self.left[a] > 0) & (self.left[total - a] > (2 * a == total))].tolist()
+        for i in range(bisect.bisect_right(larger, most) - 1, -1, -1):
+            a = larger[i]
+            if self._formed(free, a, total):
+                return [a, total - a]
+            if not self._formed(self.left, a, total):
+                del larger[i]
+        return []
+
+    def triple(self, total: int, free: np.ndarray) -> list[int]:
+        """The available triple with the largest member, then the largest next one."""
+        if total < 3:
+            return []
+        largest = self.triples.get(total)
+        if largest is None:
+            a = np.arange(-(-total // 3), total - 1)
+            largest = self.triples[total] = a[self.left[a] > 0].tolist()
+        for i in range(len(largest) - 1, -1, -1):
+            a = largest[i]
+            if free[a] > 0:
+                free[a] -= 1
+                rest = self.pair(total - a, a, free)
+                free[a] += 1
+                if rest:
+                    return [a, *rest]
+            elif not self.left[a]:
+                del largest[i]
+        return []
+
+    def complement(self, gap: int, free: np.ndarray) -> list[int]:
+        """One, two or three available lengths whose sum is ``gap``, the longest first; [] if there are none."""
+        return [gap] if free[gap] else self.pair(gap, gap - 1, free) or self.triple(gap, free)
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths of one sequence) and how often each is used; every piece is in exactly one."""
     left = np.zeros(capacity + 1, np.int64)
@@ -34,14 +92,14 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
         if not 1 <= length <= capacity:
             raise ValueError(f"a piece of length {length} doesn't fit {capacity}")
         left[length] = n
-    out = []
+    index, out = SumIndex(left), []
     for longest in range(capacity, 0, -1):
         while left[longest]:
             pattern, free = [longest], left.copy()
             free[longest] -= 1
             gap = capacity - longest
             while gap:
-                exact = complement(free, gap)
+                exact = index.complement(gap, free)
                 if exact:
                     pattern += exact
                     break
@@ -62,34 +120,6 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     return out
 
 
-def complement(free: np.ndarray, gap: int) -> list[int]:
-    """One, two or three available lengths whose sum is ``gap``, the longest first; [] if there are none."""
-    if free[gap]:
-        return [gap]
-    pair = _pair(free, gap, gap - 1)
-    if pair:
-        return pair
-    for a in (np.flatnonzero(free[1:gap]) + 1)[::-1].tolist():
-        if 3 * a < gap:
-            break
-        free[a] -= 1
-        pair = _pair(free, gap - a, a)
-        free[a] += 1
-        if pair:
-            return [a, *pair]
-    return []
-
-
-def _pair(free: np.ndarray, total: int, most: int) -> list[int]:
-    """The available pair with the longest member up to ``most``."""
-    low, high = (total + 1) // 2, min(most, total - 1)
-    if high < low:
-        return []
-    a = np.arange(low, high + 1)
-    found = np.flatnonzero((free[a] > 0) & (free[total - a] > (a * 2 == total)))
-    return [int(a[found[-1]]), total - int(a[found[-1]])] if len(found) else []
-
-
 def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """By length: from which rank on, the sequence of that rank, and the offset in it.  Sequences count up with ranks."""
     out: dict[int, list] = {}

@@ -6,9 +6,10 @@ the longest suffix that a token can still grow out of and, for each place in it
 the class of the token before it.  States are determinised on demand into one dense table whose cells hold
 the next state and the count; the table is emptied when it reaches ``MOST_CELLS`` and fills anew.
 
-Texts are cut into chunks that advance in lockstep.  A chunk's state map is known for one entry state, found
-by reading the end of the chunk before; maps compose by a segmented parallel prefix scan, and chunks whose
-entry isn't the exit before them are read again from the right state.  The result doesn't depend on the cuts.
+Texts are cut into chunks that advance in lockstep.  Mostly all states meet within a few characters, so a chunk's
+map is constant and the entry state found by reading the end of the chunk before is right.  Where it isn't, as in runs
+of one character, the text's chunks are read from up to ``ENTRIES`` states, and these state maps are composed by a
+parallel prefix scan.  The result doesn't depend on the cuts.
 
 Defined results: null and empty texts have 0 tokens; repeated rows and ties each get their own row; a
 character outside the vocabulary counts as its UTF-8 bytes; an empty table gives an empty table; further
@@ -27,6 +28,8 @@ from .mergetable import BorderClasses, MergeTable
 
 MARK = "▁"
 CHUNK, WARM_UP = 512, 24
+#: States that a chunk's map is made for where one doesn't do.
+ENTRIES = 32
 #: Cells of the table, 4 bytes each.
 MOST_CELLS = 24 << 20
 MISSING, SHIFT, BIAS = -1, 8, 128
@@ -155,40 +158,65 @@ class CountingTransducer:
         if len(inner):
             entry[inner] = self._run(padded[begins[inner][None, :] + np.arange(-WARM_UP, 0)[:, None]], np.zeros(len(inner), np.int64))[0]
         leave, added = self._run(lanes, entry)
-        while True:
-            total, linked = scan(entry, leave, added, heads)
-            broken = inner[entry[inner] != leave[inner - 1]]
-            if not len(broken):
-                break
-            entry[broken] = leave[broken - 1]
-            leave[broken], added[broken] = self._run(np.ascontiguousarray(lanes[:, broken]), entry[broken])
+        while len(wrong := inner[entry[inner] != leave[inner - 1]]):
+            # the texts concerned once more, from several states at a time
+            chunks = np.flatnonzero(np.isin(owner, owner[wrong]))
+            among, often = np.unique(np.concatenate([entry[chunks], leave[chunks]]), return_counts=True)
+            among = np.sort(among[np.argsort(-often, kind="stable")[:ENTRIES]])
+            to = self._maps(lanes, chunks, among)
+            into = compose(to.index, heads[chunks], int(np.searchsorted(among, self.begun)) if self.begun in among else -1)
+            fits = into >= 0
+            fixed, by = chunks[fits], into[fits]
+            leave[fixed], added[fixed], entry[fixed] = to.states[fits, by], to.added[fits, by], among[by]
+            wrong = inner[entry[inner] != leave[inner - 1]]
+            if len(wrong):  # states beyond the map's: each goes on from its neighbour
+                entry[wrong] = leave[wrong - 1]
+                leave[wrong], added[wrong] = self._run(np.ascontiguousarray(lanes[:, wrong]), entry[wrong])
         ends = (first + blocks - 1)[lengths > 0]
-        assert linked.all()
-        counts[lengths > 0] = total[ends] + 1  # the mark before each text, which ``begun`` has read
+        total = np.cumsum(added)
+        # the mark before each text, which ``begun`` has read, counts too
+        counts[lengths > 0] = total[ends] - (total - added)[first[lengths > 0]] + 1
         return counts
 
+    def _maps(self, lanes: np.ndarray, chunks: np.ndarray, among: np.ndarray) -> StateMaps:
+        """The chunks' maps on the states ``among``."""
+        states, added = np.empty((len(chunks), len(among)), np.int64), np.empty((len(chunks), len(among)), np.int64)
+        columns = np.ascontiguousarray(lanes[:, chunks])
+        for k, state in enumerate(among.tolist()):
+            states[:, k], added[:, k] = self._run(columns, np.full(len(chunks), state, np.int64))
+        at = np.searchsorted(among, states)
+        at[at == len(among)] = 0
+        return StateMaps(states, np.where(among[at] == states, at, -1), added)
 
-def scan(entry: np.ndarray, leave: np.ndarray, added: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Inclusive segmented prefix scan of chunk maps by doubling.
 
-    A map takes its entry state to its exit state and adds tokens; two maps compose where the exit of one is
-    the entry of the next.  Returns, by chunk, the tokens up to its end and whether all maps up to it composed.
+class StateMaps:
+    """By chunk and entry state: the exit state, which of the entry states that is (-1: none), and the tokens added."""
+
+    def __init__(self, states: np.ndarray, index: np.ndarray, added: np.ndarray):
+        self.states, self.index, self.added = states, index, added
+
+
+def compose(index: np.ndarray, heads: np.ndarray, begun: int) -> np.ndarray:
+    """By chunk, the entry state that the chunks before it lead to from ``begun``; -1: unknown.
+
+    A parallel prefix scan: maps are composed with those 1, 2, 4, ... chunks before them within a text, until each
+    reaches back to its text's first chunk.
     """
-    n = len(entry)
-    total = added.copy()
-    linked = heads.copy()
-    if n > 1:
-        linked[1:] |= entry[1:] == leave[:-1]
-    closed = heads.copy()  # reaches back to the segment's first chunk
+    n = len(heads)
+    index, closed = index.copy(), heads.copy()
     step = 1
     while step < n and not closed.all():
-        open_ = np.flatnonzero(~closed[step:]) + step
-        more, ok, end = total[open_ - step], linked[open_ - step], closed[open_ - step]
-        total[open_] += more
-        linked[open_] &= ok
-        closed[open_] = end
+        late = np.flatnonzero(~closed[step:]) + step
+        before, after = index[late - step], index[late]
+        joined = np.take_along_axis(after, np.maximum(before, 0), 1)
+        done = closed[late - step]
+        index[late] = np.where(before >= 0, joined, -1)
+        closed[late] = done
         step *= 2
-    return total, linked
+    into = np.full(n, begun, np.int64)
+    inner = np.flatnonzero(~heads)
+    into[inner] = index[inner - 1, begun] if begun >= 0 else -1
+    return into
 
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
