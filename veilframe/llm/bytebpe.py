@@ -1,7 +1,7 @@
 """Operator 5, byte-level BPE: encoding by a transducer, decoding by a UTF-8 machine.
 
-Encoding: the matches of the pre-tokenizer's pattern are read byte by byte.  A state holds the last token already
-emitted and the bytes after it whose tokens are still open; a transition emits the tokens on which every way to go on
+Encoding: the matches of the pre-tokenizer's pattern are read byte by byte.  A state holds the class of the last token
+already emitted and the bytes after it whose tokens are still open; a transition emits the tokens on which every way to go on
 agrees, so the lookahead is bounded by the bytes that a token can still grow out of.  States and transitions are
 determinised when first met and dropped together when ``MOST_STATES`` is reached; dropping changes no result.  The
 ids of short pieces are kept, so that a frequent word is read once a batch of words.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import Shipped, compiled, documents, map_batches, texts_of
-from .mergetable import MergeTable
+from .mergetable import BorderClasses, MergeTable
 from .tokenstream import rank_vocabulary
 
 MOST_STATES = 120_000
@@ -35,10 +35,10 @@ SHORT, MOST_PIECES = 24, 150_000
 class State(dict):
     """Transitions by byte: (next state, ids emitted)."""
 
-    __slots__ = ("base", "pending", "lasts", "flush")
+    __slots__ = ("before", "pending", "lasts", "flush")
 
-    def __init__(self, base: str | None, pending: str, lasts: tuple[int, ...]):
-        self.base, self.pending, self.lasts, self.flush = base, pending, lasts, None
+    def __init__(self, before: int, pending: str, lasts: tuple[int, ...]):
+        self.before, self.pending, self.lasts, self.flush = before, pending, lasts, None
 
 
 class EmittingTransducer:
@@ -47,36 +47,38 @@ class EmittingTransducer:
     def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES):
         self.ids = {k.decode("latin-1"): v for k, v in ranks.items()}
         self.table = MergeTable(self.ids)
+        self.borders = BorderClasses(self.table)
         #: In the vocabulary, but no merges lead there: as whole pieces they are looked up.
         self.unreachable = {k.encode("latin-1"): [v] for k, v in self.ids.items() if k not in self.table.right}
         self.most_states = most_states
         self._clear()
 
     def _clear(self) -> None:
+        self.borders.clear()
         self.states: dict[tuple, State] = {}
-        self.start = self._state(None, "", ())
+        self.start = self._state(0, "", ())
 
-    def _state(self, base: str | None, pending: str, lasts: tuple[int, ...]) -> State:
-        key = (base, pending)
+    def _state(self, before: int, pending: str, lasts: tuple[int, ...]) -> State:
+        """``before``: the class of the last token emitted, as far as it matters to tokens that begin with ``pending``;
+        ``lasts``: lengths of the last tokens of each prefix of ``pending``, 0 where they can't matter."""
+        key = (before, pending, lasts)
         found = self.states.get(key)
         if found is None:
-            found = self.states[key] = State(base, pending, lasts)
+            found = self.states[key] = State(*key)
         return found
 
     def _move(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
         """Read one byte: the next state and the ids emitted."""
-        base, pending, lasts = state.base, state.pending, state.lasts
+        before, lasts, borders = state.before, state.lasts, self.borders
         right, prefixes, holds = self.table.right, self.table.prefixes, self.table.border_holds
-        # lasts: lengths of the last tokens of each prefix of pending; 0 where it can't matter
-        text = pending + chr(byte)
+        text = state.pending + chr(byte)
         n = len(text)
         for at in range(n):
             if at and not lasts[at - 1]:
                 continue
             token = text[at:]
             if token in right or at == n - 1:
-                before = base if at == 0 else text[at - lasts[at - 1] : at]
-                if before is None or holds(before, token):
+                if (before == 0 or borders.hold(before, token)) if at == 0 else holds(text[at - lasts[at - 1] : at], token):
                     break
         lasts = (*lasts, n - at)
         alive = [p for p in range(n + 1) if text[p:] in prefixes and (p == 0 or lasts[p - 1])]
@@ -87,11 +89,16 @@ class EmittingTransducer:
         cut = chains[0][common - 1] if common else 0
         emitted, at = [], 0
         for end in chains[0][:common]:
-            emitted.append(self.ids[text[at:end]])
-            base, at = text[at:end], end
+            token = text[at:end]
+            emitted.append(self.ids[token])
+            at = end
+        if common:
+            before = borders.after(token)
         kept = {q for c in chains for q in c}
         lasts = tuple(lasts[i] if i + 1 in kept else 0 for i in range(cut, n))
-        move = state[byte] = self._state(base, text[cut:], lasts), tuple(emitted)
+        pending = text[cut:]
+        before = borders.narrow(before, pending) if before and cut in alive else 0
+        move = state[byte] = self._state(before, pending, lasts), tuple(emitted)
         return move
 
     @staticmethod
