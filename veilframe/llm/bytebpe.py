@@ -243,7 +243,7 @@ def encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: st
         codec = _codec(ranks)
         return pa.record_batch([batch.column(0), pa.array(codec.encode(texts_of(batch.column(1))), pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return map_batches(documents(docs, id_col, text_col), each, "doc_id long, ids array<int>", 2 << 20)
+    return map_batches(documents(docs, id_col, text_col), each, "doc_id long, ids array<int>", 1 << 20)
 
 
 def decode(rows: DataFrame, rank_path: str) -> DataFrame:
@@ -270,4 +270,4 @@ def round_trip_digests(docs: DataFrame, rank_path: str) -> DataFrame:
             b.append(hashlib.sha256(codec.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
         return pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_batches(documents(docs), each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", 2 << 20)
+    return map_batches(documents(docs), each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", 1 << 20)

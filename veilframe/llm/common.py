@@ -82,10 +82,31 @@ def pieces_of(batches: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20) -> I
         yield pa.concat_batches(held)
 
 
+#: What a Python worker did last; workers go on from stage to stage.
+_DOING: list[str] = [""]
+
+
+def now_doing(what: str) -> None:
+    """Called by each task with its operator's name: what other operators left in the worker is given back first."""
+    if _DOING[0] != what:
+        import ctypes
+        import gc
+
+        _DOING[0] = what
+        _COMPILED.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library keeps its free memory
+
+
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, most_bytes: int = 8 << 20) -> DataFrame:
     """``mapInArrow`` over pieces of bounded size; ``each`` may return None for no rows."""
 
     def run(batches):
+        now_doing(each.__module__)
         for piece in pieces_of(batches, most_bytes):
             out = each(piece)
             if out is not None and out.num_rows:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, written
+from .common import map_batches, now_doing, written
 from .components import components
 from .shingles import mix
 
@@ -150,6 +150,7 @@ def _work(rows: DataFrame, threshold: float) -> DataFrame:
     names = ("key", "bi", "bj", "block", "primary", "node", "copies")
 
     def run(batches):
+        now_doing(__name__)
         held: list[dict[str, np.ndarray]] = []
 
         def results(part: dict[str, np.ndarray]):

@@ -156,7 +156,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, e
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
         return pa.record_batch([pa.array(c, k) for c, k in zip(rows[: 5 + with_ids], kinds, strict=False)], names)
 
-    return map_batches(documents(docs), each, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids, 2 << 20)
+    return map_batches(documents(docs), each, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids, 1 << 20)
 
 
 def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_batches, pieces_of, spent, texts_of, written
+from .common import bounded_batches, map_batches, now_doing, pieces_of, spent, texts_of, written
 from .shingles import _BYTE, _powers, mix
 
 WINDOW = 400
@@ -264,6 +264,7 @@ def _compare(contexts: DataFrame, window: int) -> DataFrame:
     """(t, context, low, high): runs of repeated windows, counted from the context's first; dealt by anchor."""
 
     def run(batches):
+        now_doing(__name__)
         family, owners, begins, serial = Family(window), [], [], 0
         for batch in pieces_of(batches, BATCH):
             data, starts, whose = [], [], []

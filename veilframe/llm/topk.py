@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_batches, written
+from .common import bounded_batches, map_batches, now_doing, written
 
 QUERY_BLOCK, DATA_BLOCK = 4096, 8192
 #: Rows that the pivots are chosen from, and pivots at most.
@@ -256,6 +256,7 @@ def _searched(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score) of each pair of (PAIR, vec_id, vector, least) and (PAIR, vec_id, vector)."""
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        now_doing(__name__)
         out: tuple = (np.zeros(0, np.int64),) * 3
         if left.num_rows and right.num_rows:
             floor = np.asarray(left.column("least").to_numpy(), np.float64)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents, texts_of
+from .common import bounded_batches, documents, now_doing, texts_of
 
 #: Labelled rows that the model is fitted on, and bytes of text they may have together.
 MOST_ROWS, MOST_BYTES = 12_000, 64 << 20
@@ -234,6 +234,7 @@ def score(text: Column, model: Model, spark: SparkSession) -> Column:
 
     @F.arrow_udf("double")
     def scores(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        now_doing(__name__)
         for part in parts:
             yield pa.array(shipped.value.scores(texts_of(part)), pa.float64())
 
