@@ -34,7 +34,7 @@ COORDINATES = BANDS * ROWS
 UNIVERSE_BITS = 20
 SKETCH_WORDS = COORDINATES // 64
 #: Nodes that are compared with one other within a task, and keys of texts (16 bytes each) that are broadcast.
-STAR_PART, MOST_BROADCAST = 256, 1 << 21
+STAR_PART, MOST_BROADCAST = 256, 1 << 18
 #: Equal sketch bits of a pair at similarity s are binomial with share (1 + s) / 2; this many standard deviations below.
 SKETCH_SLACK = 6.5
 #: Buckets with more nodes that are still apart are compared in blocks of so many, within tasks.

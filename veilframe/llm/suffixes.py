@@ -36,7 +36,7 @@ CROWD = 150
 #: Windows of a crowded anchor that are first counted together.
 STRIDE = 8
 #: Bytes of contexts that a task gets on average, and of the smallest suffix array of its family.
-TASK, BATCH = 1 << 20, 128 << 10
+TASK, BATCH = 512 << 10, 128 << 10
 _ODD = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -437,7 +437,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, more: tuple[str, ...]
 
 
 #: Rows of a table with a key that is broadcast instead of moving texts or anchors to it; about 16 bytes each, or the runs of a text.
-MOST_BROADCAST = 1 << 20
+MOST_BROADCAST = 1 << 18
 
 
 def _small(table: DataFrame) -> DataFrame:
