@@ -26,7 +26,7 @@ from .common import Shipped, compiled, documents, map_batches, texts_of
 from .mergetable import BorderClasses, MergeTable
 from .tokenstream import rank_vocabulary
 
-MOST_STATES = 120_000
+MOST_STATES = 400_000
 MOST_MOVES = 400_000
 #: Pieces of at most ``SHORT`` characters whose ids are kept, and how many.
 SHORT, MOST_PIECES = 24, 150_000
@@ -153,7 +153,10 @@ class ByteBPE:
         self.encoder = EmittingTransducer(self.ranks)
         self.pieces_of = regex.compile(pattern).findall
         self.vocabulary = {i: k for k, i in self.ranks.items()}
-        self.decoder_moves: dict = {}
+        #: By state, the incomplete sequence: id -> (text, next state, its table).
+        self.decoder_moves: dict[bytes, dict] = {}
+        self.decoder_size = 0
+        self.decimal = [str(i) for i in range(max(self.vocabulary) + 1)].__getitem__
         self.known: dict[str, list[int]] = {}
 
     def encode_text(self, text: str) -> list[int]:
@@ -175,17 +178,21 @@ class ByteBPE:
 
     def decode_stream(self, pieces: Iterable[Iterable[int]]) -> Iterator[str]:
         """Text of ids that arrive in pieces; each piece's complete characters are yielded with it."""
-        moves, state = self.decoder_moves, b""
-        if len(moves) > MOST_MOVES:
-            moves.clear()
+        tables = self.decoder_moves
+        if self.decoder_size > MOST_MOVES:
+            tables.clear()
+            self.decoder_size = 0
+        table, state = tables.setdefault(b"", {}), b""
         for ids in pieces:
             out = []
             for i in ids:
-                move = moves.get((state, i))
+                move = table.get(i)
                 if move is None:
-                    move = moves[state, i] = advance_utf8(state, self.vocabulary[i])
-                out.append(move[0])
-                state = move[1]
+                    text, to = advance_utf8(state, self.vocabulary[i])
+                    move = table[i] = text, to, tables.setdefault(to, {})
+                    self.decoder_size += 1
+                text, state, table = move
+                out.append(text)
             yield "".join(out)
         if state:
             yield "�"
@@ -266,7 +273,7 @@ def round_trip_digests(docs: DataFrame, rank_path: str) -> DataFrame:
         n, a, b = [], [], []
         for ids in codec.encode(texts_of(batch.column(1))):
             n.append(len(ids))
-            a.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+            a.append(hashlib.sha256(",".join(map(codec.decimal, ids)).encode()).hexdigest())
             b.append(hashlib.sha256(codec.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
         return pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
