@@ -21,6 +21,7 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -381,8 +382,10 @@ def _spans(data: np.ndarray, whole: np.ndarray, parts: list[tuple[int, int, int]
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Per row (doc_id, text, rest, t, u, copies) with the ``more`` columns as a struct in rest, and for texts with something to remove (t, u, text, spans).
+def repeated_spans(docs: DataFrame, window: int, finish: Callable[[list[str], list[list[tuple[int, int]]]], list[pa.Array]], columns: str, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Per row (doc_id, text, rest, t, u, copies) with the ``more`` columns as a struct in rest, and for texts with something to remove (t, u, columns).
+
+    ``finish`` makes the ``columns`` from texts and their removed runs, within the task that finds these.
 
     ``t`` and ``u`` are hashes of the text and ``copies`` how many rows have it; a text with several copies is removed
     whole where it has ``window`` bytes, and isn't in the second table for that.
@@ -424,15 +427,17 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, more: tuple[str, ...]
     spent(edges)
     parts = written(parts.groupBy("t").agg(F.collect_list(F.struct("context", "low", "high")).alias("parts")), "parts-of")
 
+    names = [c.split()[0] for c in columns.split(", ")]
+
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spans = []
-        for text, whole, part in zip(texts_of(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-            spans.append([{"low": a, "high": b} for a, b in _spans(_bytes(text), np.array(whole or [], np.int64), [(p["context"], p["low"], p["high"]) for p in part or ()], window)])
-        kind = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
-        return pa.record_batch([*batch.columns[:3], pa.array(spans, kind)], ["t", "u", "text", "spans"])
+        texts = texts_of(batch.column(2))
+        spans = [_spans(_bytes(text), np.array(whole or [], np.int64), [(p["context"], p["low"], p["high"]) for p in part or ()], window)
+                 for text, whole, part in zip(texts, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+        return pa.record_batch([*batch.columns[:2], *finish(texts, spans)], ["t", "u", *names])
 
     cut = asked.join(_small(parts), "t", "left").select("t", "u", "text", "whole", "parts")
-    removed = map_batches(cut, each, "t long, u long, text string, spans array<struct<low: long, high: long>>", 2 << 20)
+    removed = written(map_batches(cut, each, f"t long, u long, {columns}", 1 << 20), "removed")
+    spent(asked, parts)
     return rows.join(owner, ["t", "u"]), removed
 
 
@@ -445,27 +450,23 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= MOST_BROADCAST else table
 
 
-def _cut(data: bytes, spans: list[dict]) -> bytes:
+def _cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     kept, at = [], 0
-    for s in spans:
-        kept.append(data[at : s["low"]])
-        at = s["high"]
+    for low, high in spans:
+        kept.append(data[at:low])
+        at = high
     return b"".join([*kept, data[at:]])
 
 
+def _digests(texts: list[str], spans: list[list[tuple[int, int]]]) -> list[pa.Array]:
+    gone = [sum(high - low for low, high in s) for s in spans]
+    digest = [hashlib.sha256(_cut(t.encode("utf-8", "surrogatepass"), s)).hexdigest() for t, s in zip(texts, spans, strict=True)]
+    return [pa.array(gone, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(digest, pa.string())]
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes)."""
-    rows, removed = repeated_spans(docs, window)
-
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, k, digest = [], [], []
-        for text, spans in zip(texts_of(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-            n.append(sum(s["high"] - s["low"] for s in spans))
-            k.append(len(spans))
-            digest.append(hashlib.sha256(_cut(text.encode("utf-8", "surrogatepass"), spans)).hexdigest())
-        return pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(digest)], ["t", "u", "gone", "spans", "digest"])
-
-    cut = written(map_batches(removed, each, "t long, u long, gone long, spans long, digest string"), "digests")
+    rows, cut = repeated_spans(docs, window, _digests, "gone long, spans long, digest string")
     rows = rows.select("doc_id", "t", "u", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"), "copies").join(cut, ["t", "u"], "left")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= window)
     return rows.select(
@@ -475,26 +476,24 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
+def _kept(texts: list[str], spans: list[list[tuple[int, int]]]) -> list[pa.Array]:
+    """What remains; a character stays unless all its bytes are removed."""
+    out = []
+    for text, runs in zip(texts, spans, strict=True):
+        data, whole = text.encode("utf-8", "surrogatepass"), []
+        for low, high in runs:
+            while low < high and data[low] & 0xC0 == 0x80:
+                low += 1
+            while high > low and high < len(data) and data[high] & 0xC0 == 0x80:
+                high -= 1
+            whole.append((low, high))
+        out.append(_cut(data, whole).decode("utf-8", "surrogatepass"))
+    return [pa.array(out, pa.string())]
+
+
 def without_repeats(docs: DataFrame, window: int = WINDOW, more: list[str] | None = None) -> DataFrame:
     """doc_id, text and ``more`` columns with the remaining texts; a character stays unless all its bytes are removed."""
-    rows, removed = repeated_spans(docs, window, tuple(more or ()))
-
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for text, spans in zip(texts_of(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-            data = text.encode("utf-8", "surrogatepass")
-            whole = []
-            for s in spans:
-                low, high = s["low"], s["high"]
-                while low < high and data[low] & 0xC0 == 0x80:
-                    low += 1
-                while high > low and high < len(data) and data[high] & 0xC0 == 0x80:
-                    high -= 1
-                whole.append({"low": low, "high": high})
-            out.append(_cut(data, whole).decode("utf-8", "surrogatepass"))
-        return pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["t", "u", "kept"])
-
-    cut = written(map_batches(removed, each, "t long, u long, kept string"), "kept")
+    rows, cut = repeated_spans(docs, window, _kept, "kept string", tuple(more or ()))
     whole = (F.col("copies") > 1) & (F.octet_length("text") >= window)
     text = F.when(whole, F.lit("")).otherwise(F.coalesce("kept", "text")).alias("text")
     return rows.join(cut, ["t", "u"], "left").select("doc_id", text, *(["rest.*"] if more else []))
