@@ -23,7 +23,7 @@ STRONG, WEAK = 2, 1
 # Patterns, cues, prefix widths and rule names of the detection rules.
 _S = r"[ \t\-]?"
 _L, _R = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
-MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
+MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
 CUES = {
     "medicare": r"(?i)\b(medicare|mcn|medicare card)\b",
     "ihi": r"(?i)\b(ihi|hpi-?[io]|healthcare identifier)\b",
@@ -200,30 +200,49 @@ def _named(name: str, view: str) -> Callable[[Column], Column]:
     return lambda s: F.struct(F.lit(name).alias("name"), F.lit(view).alias("view"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))
 
 
+#: Rules that one scan evaluates; generated code stays below the size up to which it is compiled.
+RULES_A_SCAN = 5
+
+
 def detect(docs: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Candidates of (doc_id, text) by the named rules, all by default.  One scan, no shuffle."""
-    views = docs.select("doc_id", "text", ocr_normalise(F.col("text")).alias("digits"))
+    """Candidates of (doc_id, text) by the named rules, all by default.  A scan for each few rules, no shuffle."""
+    wanted = list(names or RULES)
+    found = None
+    for at in range(0, len(wanted), RULES_A_SCAN):
+        part = _scan(docs, wanted[at : at + RULES_A_SCAN])
+        found = part if found is None else found.unionByName(part)
+    if "generic" in wanted and len(wanted) > 1:
+        # a code inside a date is none
+        dates = [n for n in wanted if RULES[n].detector == DATES]
+        if dates:
+            inner = _scan(docs, dates).select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("end").alias("e"))
+            inside = (F.col("rule") == "generic.alnum") & (F.col("doc_id") == F.col("d")) & (F.col("s") <= F.col("start")) & (F.col("end") <= F.col("e"))
+            found = found.join(inner, inside, "left_anti")
+    return found
+
+
+def _scan(docs: DataFrame, names: list[str]) -> DataFrame:
+    normalised = any(RULES[n].normalised for n in names)
+    views = docs.select("doc_id", "text", (ocr_normalise(F.col("text")) if normalised else F.col("text")).alias("digits"))
     found = []
-    for name in names or list(RULES):
+    for name in names:
         rule = RULES[name]
         for view, column in (("line", "text"), ("ocr_normalised", "digits"))[: 1 + rule.normalised]:
             found.append(F.transform(spans(F.col(column), PATTERNS[rule.pattern]), _named(name, view)))
     hits = views.select("doc_id", "text", "digits", F.explode(F.concat(*found)).alias("hit")).select("doc_id", "text", "digits", "hit.*")
     shown = F.when(F.col("view") == "line", F.col("text")).otherwise(F.col("digits"))
     decided, detector, score = F.lit(None), F.lit(None).cast("string"), F.lit(1.0)
-    for name in names or list(RULES):
+    for name in names:
         rule = RULES[name]
         mine = F.col("name") == name
         decided = F.when(mine, rule.decide(F.col("value"), line_prefix(shown, F.col("start"), rule.width))).otherwise(decided)
         detector = F.when(mine, F.lit(rule.detector)).otherwise(detector)
         score = F.when(mine, F.lit(rule.score)).otherwise(score)
-    rows = hits.withColumn("decided", decided).where(F.col("decided").isNotNull())
+    # by a generator, so that the rules' expression stands in the plan once
+    found = F.struct(decided.alias("by"), detector.alias("detector"), score.alias("score"))
+    rows = hits.select("doc_id", "view", "start", "end", "value", F.explode(F.filter(F.array(found), lambda x: x["by"].isNotNull())).alias("found"))
     # an age begins at its number
-    begin = F.when(F.col("decided.rule") == "age.aged", F.col("end") - F.length(F.regexp_extract("value", "([0-9]+)$", 1))).otherwise(F.col("start"))
-    rows = rows.select("doc_id", "view", "decided.entity_type", begin.alias("start"), "end", F.substr("value", begin - F.col("start") + 1).alias("value"), detector.alias("detector"), "decided.rule", "decided.strength", score.alias("score"))
-    if names is None or "generic" in names:
-        # a code inside a date is none
-        dates = rows.where("detector = 'rules.dates'").select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("end").alias("e"))
-        inside = (F.col("rule") == "generic.alnum") & (F.col("doc_id") == F.col("d")) & (F.col("s") <= F.col("start")) & (F.col("end") <= F.col("e"))
-        rows = rows.join(dates, inside, "left_anti")
-    return rows
+    begin = F.when(F.col("found.by.rule") == "age.aged", F.col("end") - F.length(F.regexp_extract("value", "([0-9]+)$", 1))).otherwise(F.col("start"))
+    return rows.select(
+        "doc_id", "view", "found.by.entity_type", begin.alias("start"), "end", F.substr("value", begin - F.col("start") + 1).alias("value"), "found.detector", "found.by.rule", "found.by.strength", "found.score"
+    )

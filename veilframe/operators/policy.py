@@ -23,6 +23,15 @@ LABELS = {
 }
 
 
+#: Profiles that keep the names of persons who act in their profession.
+KEEP_PROFESSIONALS = ("claimant_focused",)
+
+
+def actions_of(profile: str) -> dict[str, str]:
+    """Each entity type's action in a profile."""
+    return {**BROAD, **PROFILES[profile][0]}
+
+
 def policy_table(spark: SparkSession) -> DataFrame:
     """(profile, kind, name, action) with an action for every type and region of every profile: a few hundred rows."""
     rows = []

@@ -1,23 +1,17 @@
-"""Surrogates: dates by expression, keyed values by a fold over each document.
+"""Dates by column expressions, and the key of the surrogates that ``document.surrogates`` draws.
 
-Keyed draws come from HMAC-SHA256 counter blocks; keys travel only in the function's closure, never as literals or
-settings, so no plan or event log shows them.  Within a document equal values get equal surrogates and different ones
-different surrogates, decided in canonical order; parallelism is across documents.
+The key travels only in a function's closure, never as a literal or a setting, so no plan or event log shows it.
 """
 
 from __future__ import annotations
 
 import hashlib
-import hmac
 import os
-import re
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PIVOT = 30
-ATTEMPTS = 64
 
 
 def _year(two_or_four: Column) -> Column:
@@ -45,84 +39,12 @@ def shift_numeric_date(value: Column, days: int) -> Column:
     return F.coalesce(F.when(value.rlike(iso), F.date_format(moved, "yyyy-MM-dd")).when(value.rlike(dmy), F.concat(day, part(2), month, part(2), year)), F.lit("[date]"))
 
 
-def draws(key: bytes, label: str, attempt: int):
-    """64-bit integers from counter blocks; attempts are independent."""
-    block = 0
-    while True:
-        digest = hmac.new(key, f"{label}|{attempt}|{block}".encode(), hashlib.sha256).digest()
-        for i in range(0, 32, 8):
-            yield int.from_bytes(digest[i : i + 8], "big")
-        block += 1
-
-
-def uniform(source, n: int) -> int:
-    """An index below ``n`` without bias."""
-    limit = (1 << 64) // n * n
-    return next(x for x in source if x < limit) % n
-
-
-def shaped(value: str, source) -> str:
-    """Digits for digits and letters for letters in the layout of ``value``."""
-    out = []
-    for c in value:
-        if c.isdigit():
-            out.append(str(uniform(source, 10)))
-        elif "a" <= c <= "z" or "A" <= c <= "Z":
-            out.append(chr((97 if c.islower() else 65) + uniform(source, 26)))
-        else:
-            out.append(c)
-    return "".join(out)
-
-
-def candidate_for(entity_type: str, value: str, source) -> str:
-    if entity_type == "email":
-        name = "".join(chr(97 + uniform(source, 26)) for _ in range(8))
-        return f"{name}@example.{('com', 'org', 'net')[uniform(source, 3)]}"
-    if entity_type == "url":
-        return f"https://www.example.{('com', 'org', 'net')[uniform(source, 3)]}/" + "".join(chr(97 + uniform(source, 26)) for _ in range(6))
-    if entity_type == "ip_address":
-        return "192.0.2." + str(uniform(source, 256))  # a range reserved for documentation
-    if entity_type == "phone":
-        return f"02 {('5550', '7010')[uniform(source, 2)]} {uniform(source, 10000):04d}"
-    return shaped(value, source)
-
-
-def _key(value: str) -> str:
-    return re.sub(r"[^\w]+", "", value).casefold()
-
-
 def master_key() -> bytes:
-    """From VEILFRAME_KEY (hex, 32 bytes or more); a fixed development key without it."""
+    """From VEILFRAME_KEY (hex, 32 bytes or more).  Without it VEILFRAME_DEVELOPMENT=1 asks for a fixed key by name."""
     text = os.environ.get("VEILFRAME_KEY")
+    if not text and os.environ.get("VEILFRAME_DEVELOPMENT") != "1":
+        raise ValueError("VEILFRAME_KEY isn't set")
     key = bytes.fromhex(text) if text else hashlib.sha256(b"veilframe development key").digest()
     if len(key) < 32:
         raise ValueError("the key is shorter than 32 bytes")
     return key
-
-
-def assign(mentions: DataFrame, key: bytes | None = None) -> DataFrame:
-    """(doc_id, start, end, entity_type, value, surrogate): a fold over each document's mentions in order."""
-    secret = key or master_key()
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start", "end", "entity_type"])
-        originals = {_key(v) for v in rows["value"]}
-        given: dict[tuple[str, str], str] = {}
-        issued: set[str] = set()
-        out = []
-        for kind, value in zip(rows["entity_type"], rows["value"], strict=True):
-            name = (kind, _key(value))
-            if name not in given:
-                for attempt in range(ATTEMPTS):
-                    made = candidate_for(kind, value, draws(secret, f"{kind}:{name[1]}", attempt))
-                    if made and _key(made) not in originals and _key(made) not in issued:
-                        break
-                else:
-                    made = f"[{kind}]"
-                given[name] = made
-                issued.add(_key(made))
-            out.append(given[name])
-        return rows.assign(surrogate=out)
-
-    columns = mentions.select("doc_id", "start", "end", "entity_type", "value")
-    return columns.groupBy("doc_id").applyInPandas(fold, "doc_id long, start int, end int, entity_type string, value string, surrogate string")

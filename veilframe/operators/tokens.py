@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import before as before_words
+
 X0, CHAR, GAP, Y0, LINE, HEIGHT = 100, 25, 20, 100, 60, 50
 
 
@@ -24,9 +26,9 @@ def tokens(docs: DataFrame) -> DataFrame:
     length = F.aggregate("words", F.lit(0), lambda a, w: a + F.length(w)) + F.size("words") - 1
     before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("length", length).withColumn("line_start", F.coalesce(F.sum(F.col("length") + 1).over(before), F.lit(0)))
-    rows = rows.select("*", F.posexplode("words").alias("word_no", "word"))
-    ahead = F.aggregate(F.slice("words", F.lit(1), F.col("word_no")), F.lit(0), lambda a, w: a + F.length(w))
-    rows = rows.withColumn("ahead", ahead).withColumn("start", (F.col("line_start") + F.col("ahead") + F.col("word_no")).cast("int"))
+    placed = F.zip_with("words", before_words(F.transform("words", lambda w: F.length(w))), lambda w, a: F.struct(w.alias("word"), a.alias("ahead")))
+    rows = rows.select("*", F.posexplode(placed).alias("word_no", "placed")).select("*", "placed.word", "placed.ahead")
+    rows = rows.withColumn("start", (F.col("line_start") + F.col("ahead") + F.col("word_no")).cast("int"))
     size = F.length("word")
     x0 = X0 + CHAR * F.col("ahead") + GAP * F.col("word_no")
     y0 = Y0 + LINE * F.col("row")

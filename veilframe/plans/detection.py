@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import match_key
 from ..operators import people, propagate
 from ..operators.detectors import detect
 from ..operators.fusion import fuse, islands
 from ..sources.tables import table
+from .flow import deidentify
 
 
 def _counts(found: DataFrame) -> DataFrame:
@@ -63,22 +65,16 @@ def q_low_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuse(found).groupBy("entity_type", "strength", "accepted").agg(F.count("*").alias("n"))
 
 
-def _quoted_names(spark: SparkSession, sf_dir: str, targets: str | None) -> DataFrame:
+def _quoted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where customer names stand in lines that quote them in another layout."""
     lines = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("doc_id"), "c_custkey", "c_name")
     text = lines.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("ref "), F.lower(F.regexp_replace("c_name", "#", " #")), F.lit(" end")))), "\n").alias("text"))
-    wanted = lines if targets is None else lines.where(targets)
-    values = wanted.select("doc_id", F.col("c_name").alias("value"), F.lit("reference").alias("entity_type"))
+    values = lines.select("doc_id", F.col("c_name").alias("value"), F.lit("reference").alias("entity_type"))
     return propagate.exact(text, values).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("key").alias("n_keys"))
 
 
 def q_propagate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fifth name, as the SQL has it; q_propagate_exact_all looks for all."""
-    return _quoted_names(spark, sf_dir, "c_custkey % 5 = 0")
-
-
-def q_propagate_exact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _quoted_names(spark, sf_dir, None)
+    return _quoted_names(spark, sf_dir)
 
 
 def q_propagate_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,29 +85,13 @@ def q_propagate_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy(F.col("a.c_nationkey").alias("c_nationkey")).agg(F.count("*").alias("n_matches"))
 
 
-def _seeds(docs: DataFrame) -> DataFrame:
-    """Words of documents that equal one of the seed values, ignoring case and punctuation."""
-    words = docs.select("doc_id", F.explode(F.split("text", r"\s+")).alias("w"))
-    key = F.lower(F.regexp_replace("w", "[^A-Za-z0-9_]+", ""))
-    return words.where(key.isin("thereon", "license", "token", "therein")).groupBy("doc_id", key.alias("seed")).agg(F.count("*").alias("n"))
+SEEDS = ("thereon", "license", "token", "therein")
 
 
 def q_seed_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents, as the SQL has it; q_seed_match_all reads all."""
-    return _seeds(table(spark, sf_dir, "documents").where("lang = 'en'"))
-
-
-def q_seed_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _seeds(table(spark, sf_dir, "documents"))
-
-
-def q_unique_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers that attach to a nation's cluster by market segment only where exactly one supplier is compatible."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", (F.col("c_custkey") % 10).alias("initial"))
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", (F.col("s_suppkey") % 10).alias("s_initial"))
-    joined = c.join(s, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("initial") == F.col("s_initial")))
-    counted = joined.withColumn("n", F.count("*").over(Window.partitionBy("c_custkey")))
-    return counted.where("n = 1").select("c_custkey", "s_suppkey")
+    """Words of documents in any language that are one of four values known beforehand."""
+    out = deidentify(table(spark, sf_dir, "documents").select("doc_id", "text"), rules=[], seeds=[("reference", s) for s in SEEDS])
+    return out["mentions"].groupBy("doc_id", match_key(F.col("value")).alias("seed")).agg(F.count("*").alias("n"))
 
 
 ADDRESS_LINE = "concat('lives at ', CAST(o_orderkey % 90 + 10 AS STRING), ' Ocean ', CASE WHEN o_custkey % 2 = 0 THEN 'Street' ELSE 'Pde' END, ', ', CASE WHEN o_orderkey % 3 = 0 THEN 'Sydney' ELSE 'Coffs Harbour' END, ' NSW ', CAST(o_custkey % 8000 + 2000 AS STRING))"
@@ -137,7 +117,7 @@ QUERIES = {
     "q_file_names": _derived(FILE_LINE, ["file_name"]),
     "q_po_box": _derived(PO_LINE, ["po_box"]),
     "q_generic_id": _derived(GENERIC_LINE, ["generic"]),
-} | {f.__name__: f for f in (q_address, q_names, q_url_pages, q_fusion_islands, q_type_priority, q_low_evidence, q_propagate_exact, q_propagate_exact_all, q_propagate_fuzzy, q_seed_match, q_seed_match_all, q_unique_cluster)}
+} | {f.__name__: f for f in (q_address, q_names, q_url_pages, q_fusion_islands, q_type_priority, q_low_evidence, q_propagate_exact, q_propagate_fuzzy, q_seed_match)}
 
 
 def _sql(rows: str, entity: str, rule: str, strength: int = 2) -> str:
@@ -192,18 +172,18 @@ ORACLE_SQL = {
                            + 2 * CAST(d[7] AS INT) + 1 * CAST(d[8] AS INT)) % 10) % 10 = CAST(d[9] AS INT) AS acn FROM d)
         SELECT CASE WHEN tfn AND NOT acn THEN 'tfn' ELSE 'other_id' END AS entity_type, CAST(1 AS INTEGER) AS strength, TRUE AS accepted, count(*) AS n FROM v GROUP BY 1
     """,
-    "q_propagate_exact": "SELECT CAST(c_nationkey AS BIGINT) AS doc_id, count(*) AS n, count(DISTINCT c_name) AS n_keys FROM customer WHERE c_custkey % 5 = 0 GROUP BY 1",
+    "q_propagate_exact": "SELECT CAST(c_nationkey AS BIGINT) AS doc_id, count(*) AS n, count(DISTINCT c_name) AS n_keys FROM customer GROUP BY 1",
     "q_propagate_fuzzy": """
         WITH k AS (SELECT c_nationkey, lower(regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')) AS key FROM customer)
         SELECT a.c_nationkey, count(*) AS n_matches FROM (SELECT c_nationkey, key[1:-2] || 'x' AS near FROM k) a JOIN k b ON a.c_nationkey = b.c_nationkey
         WHERE a.near <> b.key AND levenshtein(a.near, b.key) <= CASE WHEN length(b.key) < 6 THEN 0 WHEN length(b.key) < 10 THEN 1 WHEN length(b.key) < 16 THEN 2 ELSE 3 END
               AND 1 - levenshtein(a.near, b.key) / greatest(length(a.near), length(b.key)) >= 0.88 GROUP BY 1
     """,
+    # a value of one word is also found where it stands in two
     "q_seed_match": r"""
-        SELECT doc_id, k AS seed, count(*) AS n FROM (SELECT doc_id, lower(regexp_replace(unnest(regexp_split_to_array(text, '\s+')), '[^A-Za-z0-9_]+', '', 'g')) AS k FROM documents WHERE lang = 'en')
-        WHERE k IN ('thereon', 'license', 'token', 'therein') GROUP BY 1, 2
-    """,
-    "q_unique_cluster": """
-        SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, s_suppkey, count(*) OVER (PARTITION BY c_custkey) AS n FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_custkey % 10 = s_suppkey % 10) WHERE n = 1
+        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+             w AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(line, '[ \t\r\f\v]+'), lambda x: x <> ''), lambda x: lower(regexp_replace(x, '[^\p{L}\p{N}]+', '', 'g'))) AS k FROM l),
+             s AS (SELECT doc_id, unnest(k) AS seed FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(k)), lambda i: CASE WHEN k[i] <> '' AND k[i + 1] <> '' THEN k[i] || k[i + 1] END)) FROM w)
+        SELECT doc_id, seed, count(*) AS n FROM s WHERE seed IN ('thereon', 'license', 'token', 'therein') GROUP BY 1, 2
     """,
 }

@@ -38,7 +38,7 @@ def q_token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum("start").alias("sum_start"), F.max("end").cast("int").alias("last_end"), F.max("x1").cast("int").alias("right_edge"))
 
 
-def q_offset_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_token_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens whose text isn't what the line view has at their offsets: none."""
     docs = table(spark, sf_dir, "documents")
     rows = tokens.tokens(docs).join(tokens.line_view(docs).withColumnRenamed("text", "view"), "doc_id")
@@ -46,17 +46,9 @@ def q_offset_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("page").agg(F.count("*").alias("n_tokens"), F.count_if(wrong).alias("n_wrong"))
 
 
-def _titlecased(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.md5(T.titlecase_capitals(F.col("text"))).alias("text_md5"))
-
-
 def q_titlecase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents, as the SQL has it; q_titlecase_all reads all."""
-    return _titlecased(table(spark, sf_dir, "documents").where("lang = 'en'"))
-
-
-def q_titlecase_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _titlecased(table(spark, sf_dir, "documents"))
+    """Documents of all languages; RE2's word borders are those of ASCII, so a test compares with Python instead of SQL."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.titlecase_capitals(F.col("text"))).alias("text_md5"))
 
 
 def q_ocr_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,22 +67,7 @@ def q_line_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.col("s.value").alias("email"), T.line_prefix(F.col("text"), F.col("s.start"), 28).alias("prefix"))
 
 
-def q_word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping windows of 300 words with 50 shared, as the entity models read documents."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("n"))
-    starts = F.sequence(F.lit(0), F.greatest(F.col("n") - 51, F.lit(0)), F.lit(250))
-    return words.select("doc_id", "n", F.explode(starts).alias("first")).select("doc_id", "first", F.least(F.col("first") + 300, F.col("n")).alias("last"))
-
-
-def q_core_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cores of 512 words that tile a document, each with up to 128 words of context on both sides."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("n")).where("n > 0")
-    rows = words.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(512))).alias("core"))
-    core_end = F.least(F.col("core") + 512, F.col("n"))
-    return rows.select("doc_id", "core", core_end.alias("core_end"), F.greatest(F.col("core") - 128, F.lit(0)).alias("first"), F.least(core_end + 128, F.col("n")).alias("last"))
-
-
-QUERIES = {f.__name__: f for f in (q_email_by_language, q_line_view_lengths, q_token_offsets, q_offset_consistency, q_titlecase, q_titlecase_all, q_ocr_normalise, q_match_key_ascii, q_line_prefix, q_word_windows, q_core_windows)}
+QUERIES = {f.__name__: f for f in (q_email_by_language, q_line_view_lengths, q_token_offsets, q_token_order, q_titlecase, q_ocr_normalise, q_match_key_ascii, q_line_prefix)}
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> '')"
 _LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: array_to_string(" + _WORDS.format("x") + ", ' ')), lambda x: x <> '')"
@@ -110,11 +87,7 @@ ORACLE_SQL = {
                    FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM s))
         SELECT doc_id, count(*) AS n_tokens, CAST(sum(start_) AS BIGINT) AS sum_start, CAST(max(end_) AS INTEGER) AS last_end, CAST(max(x1) AS INTEGER) AS right_edge FROM t GROUP BY doc_id
     """,
-    "q_offset_consistency": f"SELECT 0 AS page, CAST(sum(len({_WORDS.format('text')})) AS BIGINT) AS n_tokens, CAST(0 AS BIGINT) AS n_wrong FROM documents",
-    "q_titlecase": r"""
-        WITH p AS (SELECT doc_id, string_split_regex(text, '\b[A-Z][A-Z''\-]+\b') AS gaps, regexp_extract_all(text, '\b[A-Z][A-Z''\-]+\b') AS hits FROM documents WHERE lang = 'en')
-        SELECT doc_id, md5(array_to_string(list_transform(gaps, lambda g, i: g || coalesce(hits[i][1] || lower(hits[i][2:]), '')), '')) AS text_md5 FROM p
-    """,
+    "q_token_order": f"SELECT 0 AS page, CAST(sum(len({_WORDS.format('text')})) AS BIGINT) AS n_tokens, CAST(0 AS BIGINT) AS n_wrong FROM documents",
     "q_ocr_normalise": """
         WITH w AS (SELECT o_orderkey, o_orderpriority, lpad(CAST(o_orderkey * 7919 AS VARCHAR), 9, '0') AS d FROM orders),
              t AS (SELECT *, translate(d, '0158', 'OlSB') AS m FROM w)
@@ -128,13 +101,4 @@ ORACLE_SQL = {
                    FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM p))
         SELECT doc_id, email, right(string_split(before, chr(10))[-1], 28) AS prefix FROM u
     """,
-    "q_word_windows": f"""
-        WITH w AS (SELECT doc_id, CAST(len({_WORDS.format('text')}) AS INTEGER) AS n FROM documents)
-        SELECT doc_id, CAST(f AS INTEGER) AS first, CAST(least(f + 300, n) AS INTEGER) AS last FROM (SELECT doc_id, n, unnest(range(0, greatest(n - 51, 0) + 1, 250)) AS f FROM w)
-    """,
-    "q_core_windows": f"""
-        WITH w AS (SELECT doc_id, CAST(len({_WORDS.format('text')}) AS INTEGER) AS n FROM documents), c AS (SELECT doc_id, n, unnest(range(0, n, 512)) AS core FROM w WHERE n > 0)
-        SELECT doc_id, CAST(core AS INTEGER) AS core, CAST(least(core + 512, n) AS INTEGER) AS core_end, CAST(greatest(core - 128, 0) AS INTEGER) AS first,
-               CAST(least(least(core + 512, n) + 128, n) AS INTEGER) AS last FROM c
-    """,
 }

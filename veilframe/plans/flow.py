@@ -1,7 +1,7 @@
-"""The whole text flow: detect, fuse, propagate, decide, replace, verify, and the release gate.
+"""The whole text flow: detect, fuse, propagate, resolve, decide, replace, verify, and the release gate.
 
-Documents are independent: candidates, groups and checks share the document as their key, and each document ends as
-released or quarantined.
+Documents are independent, so each is worked on whole within a task; its row is written once to the shared folder, and
+all other tables are read from there.  Each document ends as released or quarantined.
 """
 
 from __future__ import annotations
@@ -9,38 +9,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import manifest, propagate, render, surrogates
-from ..operators.detectors import detect
-from ..operators.fusion import fuse
-from ..operators.people import detect_addresses, detect_persons
-from ..operators.policy import decide, number_labels
-
-
-def mentions_of(docs: DataFrame, rules: list[str] | None = None, profile: str = "broad") -> tuple[DataFrame, DataFrame]:
-    """Accepted mentions with their values, and groups of too little evidence."""
-    found = detect(docs, rules)
-    if rules is None:
-        found = found.unionByName(detect_persons(docs)).unionByName(detect_addresses(docs))
-    # confirmed values that the profile removes are looked for in their whole document, and all is fused again
-    sure = decide(_with_values(docs, fuse(found).where("accepted AND strength = 2")), profile).where("action <> 'keep'")
-    groups = fuse(found.unionByName(propagate.candidates(docs, sure)))
-    return _with_values(docs, groups.where("accepted")), groups.where("not accepted")
-
-
-def _with_values(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    value = F.substr("text", F.col("start") + 1, F.col("end") - F.col("start"))
-    return groups.join(docs.select("doc_id", "text"), "doc_id").withColumn("value", value).drop("text")
-
-
-def deidentify(docs: DataFrame, profile: str = "broad", style: str = "label", rules: list[str] | None = None) -> dict[str, DataFrame]:
-    """mentions, decisions, output, checks and gate of ``docs`` (doc_id, text)."""
-    found, low = mentions_of(docs, rules, profile)
-    decisions = decide(found, profile)
-    acted = decisions.where("action <> 'keep'")
-    if style == "surrogate":
-        replaced = surrogates.assign(acted).withColumnRenamed("surrogate", "by")
-    else:
-        replaced = number_labels(acted).withColumnRenamed("label", "by")
-    output = render.rebuild(docs, replaced, "by")
-    checks = manifest.checks(docs, acted, replaced, output)
-    return {"mentions": found, "low_evidence": low, "decisions": decisions, "replaced": replaced, "output": output, "checks": checks, "gate": manifest.gate(docs, checks)}
+from ..operators import manifest, surrogates
+from ..operators.documents import process, settings_of, with_unique_ids
+from ..tables import written
+
+
+def deidentify(docs: DataFrame, profile: str = "broad", style: str = "label", rules: list[str] | None = None, seeds: list[tuple[str, str]] | None = None, key: bytes | None = None) -> dict[str, DataFrame]:
+    """mentions, low_evidence, decisions, replaced, output, checks and gate of ``docs`` (doc_id, text).
+
+    ``rules``: only these pattern rules; ``seeds``: (type, value) known beforehand; ``key``: of surrogates, else from the
+    environment.  Documents without an id or text, and those that share an id, are quarantined unread.  ``docs`` may
+    also have candidates (what models found) and tokens (what readers found).
+    """
+    good, bad = with_unique_ids(docs)
+    secret = (key or surrogates.master_key()) if style == "surrogate" else None
+    done = written(process(good, settings_of(profile, style, seeds), secret, rules), "documents")
+    decisions = done.select("doc_id", F.explode("mentions").alias("m")).select("doc_id", "m.*")
+    checks = manifest.checks(done)
+    return {
+        "documents": done, "mentions": decisions, "decisions": decisions, "replaced": decisions.where("by is not null"),
+        "low_evidence": done.select("doc_id", F.explode("low").alias("m")).select("doc_id", "m.*"),
+        "output": done.select("doc_id", "text"), "checks": checks, "gate": manifest.gate(done, checks, bad),
+    }

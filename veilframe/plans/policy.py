@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import policy as P
 from ..operators import surrogates
+from ..operators.boxes import region_action
 from ..operators.fusion import TYPES
 from ..sources.tables import table
 
@@ -58,9 +59,9 @@ def q_date_shift_fixed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_region_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kept regions are dropped; stand-ins are only drawn in the surrogate style, else the region is removed."""
     style = F.explode(F.array(F.lit("surrogate"), F.lit("label"))).alias("style")
-    rows = P.policy_table(spark).where("kind = 'region' AND action <> 'keep'").select("profile", "name", "action", style)
-    acted = F.when((F.col("action") == "synthesise") & (F.col("style") != "surrogate"), "remove").otherwise(F.col("action"))
-    return rows.groupBy("profile", "style", acted.alias("acted")).agg(F.count("*").alias("n"))
+    rows = P.policy_table(spark).where("kind = 'region'").select("profile", "name", "action", style)
+    acted = region_action(F.col("action"), F.col("style"))
+    return rows.groupBy("profile", "style", acted.alias("acted")).agg(F.count("*").alias("n")).where("acted is not null")
 
 
 def q_canonical_date(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,30 +70,8 @@ def q_canonical_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", surrogates.canonical_date(two).alias("short"), surrogates.canonical_date(F.date_format("o_orderdate", "dd/MM/yyyy")).alias("long"))
 
 
-def q_family_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers (professionals) whose nation no customer of the same key shares: kept only where no relative exists."""
-    customers = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n"), (F.col("c_custkey") % 25).alias("k"))
-    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n"), (F.col("s_suppkey") % 25).alias("k"))
-    return suppliers.join(customers, ["n", "k"], "left_anti").select("s_suppkey")
-
-
-def q_gender_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By customer, the majority of order priorities read as votes; ties are unknown."""
-    vote = F.when(F.col("o_orderkey") % 5 < 2, "female").when(F.col("o_orderkey") % 5 < 4, "male")
-    counts = table(spark, sf_dir, "orders").select("o_custkey", vote.alias("v")).groupBy("o_custkey").agg(F.count_if(F.col("v") == "female").alias("f"), F.count_if(F.col("v") == "male").alias("m"))
-    return counts.select("o_custkey", F.when(F.col("f") > F.col("m"), "female").when(F.col("m") > F.col("f"), "male").otherwise("unknown").alias("gender"))
-
-
-def q_nearest_label_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each order's first item (label), the next item to the right on the same row: the nearest by place."""
-    w = Window.partitionBy("l_orderkey", "row").orderBy("l_partkey", "l_linenumber")
-    rows = table(spark, sf_dir, "lineitem").withColumn("row", F.col("l_suppkey") % 2)
-    return rows.select("l_orderkey", F.col("row").cast("int").alias("row"), "l_linenumber", F.lead("l_linenumber").over(w).alias("right")).where(F.col("right").isNotNull())
-
-
 QUERIES = {f.__name__: f for f in (
     q_policy_table, q_policy_complete, q_policy_decide, q_age_topcode, q_effective_kind, q_label_numbering, q_date_shift_fixed_days, q_region_actions, q_canonical_date,
-    q_family_check, q_gender_vote, q_nearest_label_value,
 )}
 
 _TYPE = f"['{"', '".join(TYPES)}']"
@@ -101,9 +80,18 @@ _MENTIONS = f"""
            CASE WHEN t = 'age' THEN 'aged ' || CAST(l_partkey % 120 AS VARCHAR) WHEN t = 'date' THEN strftime(l_shipdate, '%Y') ELSE 'v' || CAST(l_suppkey AS VARCHAR) END AS value, l_partkey
     FROM (SELECT *, ({_TYPE})[CAST(l_partkey % {len(TYPES)} + 1 AS INTEGER)] AS t FROM lineitem)
 """
-_POLICY = "SELECT * FROM (VALUES " + ", ".join(
-    f"('{p}', 'entity', '{t}', '{ {**P.BROAD, **e}[t]}')" for p, (e, _) in P.PROFILES.items() for t in TYPES
-) + ", " + ", ".join(f"('{p}', 'region', '{r}', '{ {**P.BROAD_REGIONS, **g}[r]}')" for p, (_, g) in P.PROFILES.items() for r in P.REGIONS) + ") AS v(profile, kind, name, action)"
+# What each profile does, written out: types and regions that differ from the broad profile's surrogates and removals.
+_ALL = ("medicare ihi hpi tfn crn ndis dva_file passport driver_licence provider_number ahpra card_number bank_account abn acn vin vehicle_reg clinical_id court_file employee_id reference email url file_path phone "
+        "ip_address date_of_birth date_of_death person street_address organisation locality postcode other_id date age").split()
+_REGIONS = "signature handwriting face photo barcode logo stamp illegible faint_ink graphic".split()
+_POLICY = f"""
+    SELECT profile, 'entity' AS kind, t AS name,
+           CASE WHEN profile = 'maximal' AND t IN ('date', 'date_of_birth', 'date_of_death') THEN 'shift_date' WHEN profile = 'maximal' AND t = 'age' THEN 'generalise' WHEN t IN ('date', 'age') THEN 'keep'
+                WHEN profile = 'client' AND t IN ('date_of_birth', 'date_of_death', 'locality', 'postcode') THEN 'keep' WHEN profile = 'claimant_focused' AND t IN ('hpi', 'provider_number', 'ahpra', 'organisation') THEN 'keep' ELSE 'surrogate' END AS action
+    FROM (VALUES ('broad'), ('client'), ('claimant_focused'), ('maximal')) p(profile), (SELECT unnest({_ALL}) AS t)
+    UNION ALL SELECT profile, 'region', r, CASE WHEN r = 'faint_ink' THEN 'suppress_ink' WHEN profile = 'client' AND r IN ('signature', 'face', 'photo') THEN 'synthesise' WHEN profile = 'client' AND r = 'graphic' THEN 'keep' ELSE 'remove' END
+    FROM (VALUES ('broad'), ('client'), ('claimant_focused'), ('maximal')) p(profile), (SELECT unnest({_REGIONS}) AS r)
+"""
 ORACLE_SQL = {
     "q_policy_table": f"SELECT profile, kind, action, count(*) AS n FROM ({_POLICY}) GROUP BY ALL",
     "q_policy_complete": f"SELECT CAST(4 * 46 - count(*) AS BIGINT) AS n_missing FROM ({_POLICY})",
@@ -130,12 +118,4 @@ ORACLE_SQL = {
         FROM ({_POLICY}) p, (VALUES ('surrogate'), ('label')) s(style) WHERE kind = 'region' AND action <> 'keep' GROUP BY 1, 2, 3
     """,
     "q_canonical_date": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS short, strftime(o_orderdate, '%Y-%m-%d') AS long FROM orders",
-    "q_family_check": "SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey AND c_custkey % 25 = s_suppkey % 25)",
-    "q_gender_vote": """
-        SELECT o_custkey, CASE WHEN f > m THEN 'female' WHEN m > f THEN 'male' ELSE 'unknown' END AS gender FROM
-          (SELECT o_custkey, count(*) FILTER (WHERE o_orderkey % 5 < 2) AS f, count(*) FILTER (WHERE o_orderkey % 5 IN (2, 3)) AS m FROM orders GROUP BY 1)
-    """,
-    "q_nearest_label_value": """
-        SELECT * FROM (SELECT l_orderkey, CAST(l_suppkey % 2 AS INTEGER) AS row, l_linenumber, lead(l_linenumber) OVER (PARTITION BY l_orderkey, l_suppkey % 2 ORDER BY l_partkey, l_linenumber) AS "right" FROM lineitem) WHERE "right" IS NOT NULL
-    """,
 }

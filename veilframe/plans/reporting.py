@@ -1,4 +1,4 @@
-"""Verification, manifest and reporting queries."""
+"""Queries of the whole flow over all documents, its checks and its manifest."""
 
 from __future__ import annotations
 
@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import manifest, render
+from ..operators import reports as R
 from ..operators.detectors import detect
+from ..operators.documents import persons_table, settings_of, with_unique_ids
+from ..operators.policy import PROFILES
 from ..operators.tokens import to_token_ranges, tokens
 from ..sources import lines as L
 from ..sources.tables import table
 from .documents import EMAIL_RE2
 from .flow import deidentify
 
-RULES = ["email", "ipv4", "card"]
+#: The key of the queries' surrogates; a fixed one, so that results can be compared.
+QUERY_KEY = bytes(range(32))
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,21 +31,59 @@ def q_deidentify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_deidentify_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deidentify(_docs(spark, sf_dir), "broad", "label")["output"].select("doc_id", F.md5("text").alias("text_md5"))
+    """All rules, profiles and styles: by both, what was done with how many mentions."""
+    every = None
+    for profile in PROFILES:
+        for style in ("label", "surrogate", "blackout"):
+            out = deidentify(_docs(spark, sf_dir), profile, style, key=QUERY_KEY)["decisions"]
+            rows = out.groupBy("entity_type", "action").agg(F.count("*").alias("n"), F.sum(F.length("by")).alias("drawn")).withColumn("profile", F.lit(profile)).withColumn("style", F.lit(style))
+            every = rows if every is None else every.unionByName(rows)
+    return every
 
 
 def q_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deidentify(_docs(spark, sf_dir), "broad", "surrogate")["replaced"].select("doc_id", "start", "end", "entity_type", F.length("by").alias("length"))
+    out = deidentify(_docs(spark, sf_dir), "maximal", "surrogate", key=QUERY_KEY)["replaced"]
+    return out.select("doc_id", "start", "end", "entity_type", "action", F.length("by").alias("length"))
 
 
 def q_release_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deidentify(_docs(spark, sf_dir), "broad", "label")["gate"].groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+def q_release_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each check of the maximal profile with surrogates: documents that pass and don't."""
+    return deidentify(_docs(spark, sf_dir), "maximal", "surrogate", key=QUERY_KEY)["checks"].groupBy("check", "passed").agg(F.count("*").alias("n"), F.sum("problems").alias("problems"))
+
+
+def q_refused_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by customer as documents: customers with several orders share an id, some have no text."""
+    text = F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderpriority"))
+    rows = table(spark, sf_dir, "orders").select(F.when(F.col("o_custkey") % 50 != 0, F.col("o_orderkey") - F.col("o_orderkey") % 2 * (F.col("o_custkey") % 3)).alias("doc_id"), text.alias("text"))
+    good, bad = with_unique_ids(rows)
+    return bad.groupBy("reason").agg(F.count("*").alias("n")).unionByName(good.agg(F.lit("read").alias("reason"), F.count("*").alias("n")))
+
+
 def q_manifest_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     out = deidentify(docs, "broad", "label")
-    return manifest.manifest(docs, out["decisions"], out["checks"], out["gate"])
+    return manifest.manifest(docs, out["decisions"], out["checks"], out["gate"], out["low_evidence"])
+
+
+def q_manifest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifests read back: what the job list shows of each document."""
+    return R.job_summary(q_manifest_canonical(spark, sf_dir))
+
+
+def q_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.category_counts(deidentify(_docs(spark, sf_dir), "broad", "label")["decisions"])
+
+
+def q_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return persons_table(_docs(spark, sf_dir), settings_of("broad", "label")).select("doc_id", "first", "last", "surname", "cluster", "gender")
+
+
+def q_low_evidence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.low_evidence(deidentify(_docs(spark, sf_dir), "broad", "label")["low_evidence"])
 
 
 def q_text_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +94,13 @@ def q_text_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = deidentify(_docs(spark, sf_dir), "broad", "label")
-    return out["checks"].where("check = 'V6'").groupBy("passed").agg(F.count("*").alias("n"))
+    """Documents whose length is the input's with each mention exchanged, by whether the check says so."""
+    docs = _docs(spark, sf_dir)
+    out = deidentify(docs, "broad", "label")
+    change = out["replaced"].groupBy("doc_id").agg(F.sum(F.length("by") - (F.col("end") - F.col("start"))).alias("change"))
+    sizes = docs.select("doc_id", F.length("text").alias("before")).join(out["output"].select("doc_id", F.length("text").alias("after")), "doc_id").join(change, "doc_id", "left")
+    same = sizes.select("doc_id", (F.col("before") + F.coalesce("change", F.lit(0)) == F.col("after")).alias("same"))
+    return out["checks"].where("check = 'V6'").join(same, "doc_id").groupBy("passed", "same").agg(F.count("*").alias("n"))
 
 
 def q_span_to_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,48 +113,6 @@ def q_span_to_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.sum(F.col("last") - F.col("first") + 1).cast("long").alias("n_tokens"))
 
 
-def q_job_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as jobs: by priority, how many finished, failed and wait, with the share of finished ones."""
-    o = table(spark, sf_dir, "orders")
-    return o.groupBy(F.col("o_orderpriority").alias("queue")).agg(
-        F.count_if(F.col("o_orderstatus") == "F").alias("released"), F.count_if(F.col("o_orderstatus") == "O").alias("queued"), F.count_if(F.col("o_orderstatus") == "P").alias("running"),
-    )
-
-
-def q_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mentions of documents by the reviewer's categories."""
-    category = F.when(F.col("entity_type").isin("email", "phone", "url"), "contact").when(F.col("entity_type").isin("ip_address", "card_number"), "identifier").otherwise("other")
-    found = detect(_docs(spark, sf_dir), RULES).where("view = 'line'")
-    return found.groupBy(category.alias("category")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
-
-
-def q_overlay_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One box for each distinct rounded rectangle of the items of an order."""
-    i = table(spark, sf_dir, "lineitem").select("l_orderkey", F.floor(F.col("l_quantity") / 10).alias("x"), F.floor(F.col("l_discount") * 50).alias("y"), "l_linenumber")
-    return i.groupBy("l_orderkey", "x", "y").agg(F.count("*").alias("n_items"), F.min("l_linenumber").alias("first_item"))
-
-
-def q_score_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By return flag, values to replace that are found, missed and damaged, and the rate."""
-    i = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count_if(F.col("l_linestatus") == "F").alias("replaced"), F.count_if(F.col("l_linestatus") == "O").alias("leaked"), F.count("*").alias("n"))
-    return i.withColumn("percent", F.round(100.0 * F.col("replaced") / F.col("n"), 4))
-
-
-def q_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes that others of the same order cover by half or more; areas are summed."""
-    b = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 50).alias("x0"), (F.col("l_partkey") % 50 + F.col("l_quantity")).alias("x1"))
-    o = b.select("l_orderkey", F.col("l_linenumber").alias("other"), F.col("x0").alias("o0"), F.col("x1").alias("o1"))
-    hit = b.join(o, "l_orderkey").where("l_linenumber <> other AND o0 < x1 AND x0 < o1")
-    area = hit.groupBy("l_orderkey", "l_linenumber", "x0", "x1").agg(F.sum(F.least("x1", "o1") - F.greatest("x0", "o0")).alias("covered"))
-    return area.where(F.col("covered") >= 0.5 * (F.col("x1") - F.col("x0"))).groupBy("l_linenumber").agg(F.count("*").alias("n_covered"))
-
-
-def q_replacement_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names one of whose words (3 letters or more) is in the part's type or the other way round."""
-    p = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_type").alias("t"), F.transform(F.split(F.lower("p_name"), " "), lambda w: w).alias("w"))
-    return p.select("p_partkey", F.exists("w", lambda w: (F.length(w) >= 3) & (F.contains(F.col("t"), w) | F.contains(w, F.col("t")))).alias("explained"))
-
-
 def q_tsv_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reader output (level, confidence, word) per event: words of level 5 with confidence of 0 or more."""
     lines = F.concat_ws("\t", (F.col("event_id") % 6).cast("string"), (F.col("user_id") % 101 - 1).cast("string"), F.col("event_type"))
@@ -115,32 +120,31 @@ def q_tsv_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    q_deidentify, q_deidentify_all, q_surrogates, q_release_gate, q_manifest_canonical, q_text_leak, q_integrity, q_span_to_tokens, q_job_summary, q_category_counts, q_overlay_boxes,
-    q_score_tally, q_coverage, q_replacement_explained, q_tsv_parse,
+    q_deidentify, q_deidentify_all, q_surrogates, q_release_gate, q_release_checks, q_refused_ids, q_manifest_canonical, q_manifest_summary, q_category_counts, q_persons, q_low_evidence_rules, q_text_leak,
+    q_integrity, q_span_to_tokens, q_tsv_parse,
 )}
 
 _HITS = f"regexp_extract_all(text, '{EMAIL_RE2}')"
+#: A mention is whole tokens, but for the punctuation at its end.
+_TOKEN = EMAIL_RE2 + r"""(?:[^\s]*[^\s)\]}"”,;:.!?])?"""
 _KEY = "lower(regexp_replace({}, '[^A-Za-z0-9_]+', '', 'g'))"
 ORACLE_SQL = {
     "q_deidentify": f"""
-        WITH e AS (SELECT doc_id, string_split_regex(text, '{EMAIL_RE2}') AS gaps, {_HITS} AS hits FROM documents),
+        WITH e AS (SELECT doc_id, string_split_regex(text, '{_TOKEN}') AS gaps, regexp_extract_all(text, '{_TOKEN}') AS hits FROM documents),
              k AS (SELECT *, list_distinct(hits) AS u, list_transform(hits, lambda h: list_position(hits, h)) AS first FROM e),
              n AS (SELECT *, list_transform(first, lambda f: len(list_distinct(list_filter(first, lambda g: g <= f)))) AS no FROM k)
         SELECT doc_id, md5(array_to_string(list_transform(gaps, lambda g, i: g || CASE WHEN i <= len(hits) THEN '[EMAIL ' || CAST(no[i] AS VARCHAR) || ']' ELSE '' END), '')) AS text_md5 FROM n
     """,
-    "q_release_gate": "SELECT 'released' AS outcome, count(*) AS n FROM documents",
+    "q_release_gate": """
+        SELECT CASE WHEN n = 1 AND doc_id IS NOT NULL AND NOT no_text THEN 'released' ELSE 'quarantined' END AS outcome, count(*) AS n
+        FROM (SELECT doc_id, count(*) AS n, bool_or(text IS NULL) AS no_text FROM documents GROUP BY 1) GROUP BY 1
+    """,
+    "q_refused_ids": """
+        WITH d AS (SELECT CASE WHEN o_custkey % 50 <> 0 THEN o_orderkey - o_orderkey % 2 * (o_custkey % 3) END AS doc_id, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderpriority END AS text FROM orders),
+             g AS (SELECT doc_id, count(*) AS n, bool_or(text IS NULL) AS no_text FROM d GROUP BY 1)
+        SELECT CASE WHEN doc_id IS NULL THEN 'no_id' WHEN n > 1 THEN 'repeated_id' WHEN no_text THEN 'no_text' ELSE 'read' END AS reason, count(*) AS n FROM g GROUP BY 1
+    """,
     "q_text_leak": f"SELECT doc_id, count(DISTINCT h) AS n_leaks FROM (SELECT doc_id, unnest({_HITS}) AS h FROM documents) WHERE length({_KEY.format('h')}) >= 4 GROUP BY 1",
-    "q_integrity": "SELECT TRUE AS passed, count(*) AS n FROM documents",
     "q_span_to_tokens": f"SELECT doc_id, count(*) AS n_spans, count(*) AS n_tokens FROM (SELECT doc_id, unnest({_HITS}) AS h FROM documents) GROUP BY 1",
-    "q_job_summary": "SELECT o_orderpriority AS queue, count(*) FILTER (WHERE o_orderstatus = 'F') AS released, count(*) FILTER (WHERE o_orderstatus = 'O') AS queued, count(*) FILTER (WHERE o_orderstatus = 'P') AS running FROM orders GROUP BY 1",
-    "q_overlay_boxes": "SELECT l_orderkey, CAST(floor(l_quantity / 10) AS BIGINT) AS x, CAST(floor(l_discount * 50) AS BIGINT) AS y, count(*) AS n_items, min(l_linenumber) AS first_item FROM lineitem GROUP BY ALL",
-    "q_score_tally": "SELECT l_returnflag, count(*) FILTER (WHERE l_linestatus = 'F') AS replaced, count(*) FILTER (WHERE l_linestatus = 'O') AS leaked, count(*) AS n, round(100.0::DOUBLE * count(*) FILTER (WHERE l_linestatus = 'F') / count(*), 4) AS percent FROM lineitem GROUP BY 1",
-    "q_coverage": """
-        WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey % 50 AS x0, l_partkey % 50 + l_quantity AS x1 FROM lineitem),
-             a AS (SELECT b.l_orderkey, b.l_linenumber, b.x0, b.x1, sum(least(b.x1, o.x1) - greatest(b.x0, o.x0)) AS covered
-                   FROM b JOIN b o ON b.l_orderkey = o.l_orderkey AND b.l_linenumber <> o.l_linenumber AND o.x0 < b.x1 AND b.x0 < o.x1 GROUP BY 1, 2, 3, 4)
-        SELECT l_linenumber, count(*) AS n_covered FROM a WHERE covered >= 0.5 * (x1 - x0) GROUP BY 1
-    """,
-    "q_replacement_explained": "SELECT p_partkey, len(list_filter(string_split(lower(p_name), ' '), lambda w: length(w) >= 3 AND (contains(lower(p_type), w) OR contains(w, lower(p_type))))) > 0 AS explained FROM part",
     "q_tsv_parse": "SELECT event_type AS word, count(*) AS n, CAST(sum(user_id % 101 - 1) AS DOUBLE) AS confidence FROM events WHERE event_id % 6 = 5 AND user_id % 101 - 1 >= 0 GROUP BY 1",
 }
