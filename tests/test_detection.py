@@ -70,16 +70,60 @@ def test_flow_releases_and_hides(spark, rows):
     out = deidentify(docs, "broad", "label", ["email", "ipv4"])
     assert rows(out["output"])[0] == (1, "write to [EMAIL 1] or [EMAIL 1], host [IP ADDRESS 1]")
     assert {r[1] for r in rows(out["gate"])} == {"released"} and out["gate"].count() == 3
-    made = deidentify(docs, "broad", "surrogate", ["email", "ipv4"])
+    made = deidentify(docs, "broad", "surrogate", ["email", "ipv4"], key=b"k" * 32)
     text = rows(made["output"])[0][1]
     assert "mail.org" not in text and "10.1.2.3" not in text and "@example." in text
-    assert rows(deidentify(docs.repartition(7), "broad", "surrogate", ["email", "ipv4"])["output"]) == rows(made["output"])
+    assert rows(deidentify(docs.repartition(7), "broad", "surrogate", ["email", "ipv4"], key=b"k" * 32)["output"]) == rows(made["output"])
 
 
-def test_verifier_sees_a_leak(spark, rows):
+@pytest.mark.parametrize(("column", "check"), [("error", "V1"), ("leaks", "V2"), ("residual", "V4"), ("unsafe", "V5"), ("changed", "V6")])
+def test_each_check_quarantines(spark, rows, column, check):
     from veilframe.operators import manifest
 
-    docs = spark.createDataFrame([(1, "a.b@mail.org")], "doc_id long, text string")
-    out = deidentify(docs, "broad", "label", ["email"])
-    broken = manifest.checks(docs, out["decisions"], out["replaced"], docs)
-    assert rows(manifest.gate(docs, broken)) == [(1, "quarantined", ["V2"])] or "V2" in rows(manifest.gate(docs, broken))[0][2]
+    done = deidentify(spark.createDataFrame([(1, "a.b@mail.org"), (2, "x")], "doc_id long, text string"), "broad", "label", ["email"])["documents"]
+    broken = done.withColumn(column, F.when(F.col("doc_id") == 1, F.lit("E" if column == "error" else 1)).otherwise(F.col(column)))
+    assert rows(manifest.gate(broken, manifest.checks(broken))) == [(1, "quarantined", [check]), (2, "released", [])]
+
+
+def test_documents_that_cannot_be_told_apart_are_not_read(spark, rows):
+    docs = spark.createDataFrame([(1, "a@b.org"), (1, "c@d.org"), (2, None), (None, "x"), (None, "y"), (3, "ok")], "doc_id long, text string")
+    out = deidentify(docs)
+    assert rows(out["output"]) == [(3, "ok")]
+    assert rows(out["gate"]) == sorted([(1, "quarantined", ["repeated_id"]), (2, "quarantined", ["no_text"]), (None, "quarantined", ["no_id"]), (3, "released", [])], key=repr)
+
+
+def test_a_failing_document_is_quarantined_alone(spark, rows):
+    from veilframe.operators import manifest
+    from veilframe.operators.documents import process, settings_of
+
+    # surrogates without a key fail where something is to be replaced
+    docs = spark.createDataFrame([(1, "write to a@b.org"), (2, "nothing")], "doc_id long, text string")
+    got = process(docs, settings_of("broad", "surrogate"), None)
+    assert rows(got, "doc_id", "text", "error") == [(1, None, "TypeError"), (2, "nothing", None)]
+    assert [r[:2] for r in rows(manifest.gate(got, manifest.checks(got)))] == [(1, "quarantined"), (2, "released")]
+
+
+def test_surrogates_need_a_key(spark, monkeypatch):
+    monkeypatch.delenv("VEILFRAME_KEY", raising=False)
+    monkeypatch.delenv("VEILFRAME_DEVELOPMENT", raising=False)
+    with pytest.raises(ValueError, match="VEILFRAME_KEY"):
+        deidentify(spark.createDataFrame([], "doc_id long, text string"), style="surrogate")
+
+
+def test_title_case_equals_python(spark, rows):
+    import re
+
+    from veilframe.functions.text import titlecase_capitals
+
+    texts = ["TOKEN of MARY O'BRIEN-SMITH", "L'ÉCOLE ABC", "aBC ABCd AB-CD' X YZ", "", "ÀBC_DEF GHI9 JKL"]
+    want = [re.sub(r"\b[A-Z][A-Z'\-]+\b", lambda m: m[0][0] + m[0][1:].lower(), t) for t in texts]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", titlecase_capitals(F.col("t")).alias("t"))
+    assert [r["t"] for r in got.orderBy("i").collect()] == want
+
+
+def test_long_lines_take_time_in_proportion(spark):
+    import time
+
+    long = spark.createDataFrame([(1, "word1 " * 200_000)], "doc_id long, text string")
+    began = time.time()
+    assert tokens(long).agg(F.max("end")).first()[0] == 1_199_999 and time.time() - began < 60
