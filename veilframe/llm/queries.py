@@ -60,7 +60,29 @@ QUERIES = {
     )
 }
 
+#: Components of links (a, b) over nodes ids by the smallest id reachable, as a recursive query over a few links.
+_REACH = """reach AS (SELECT a AS id, a AS to_ FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.to_ = l.a)"""
+
 ORACLE_SQL = {
+    # whole sets compared pair by pair, through the shingles they share
+    "op6_near_duplicates": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS k FROM documents),
+             s AS MATERIALIZED (SELECT doc_id, md5_number_lower(h) AS h FROM (SELECT DISTINCT doc_id, h FROM (
+                SELECT doc_id, unnest(CASE WHEN len(k) = 0 THEN [] WHEN len(k) < 4 THEN [array_to_string(k, ' ')] ELSE list_transform(range(1, len(k) - 2), lambda i: array_to_string(k[i:i + 3], ' ')) END) AS h FROM w))),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+             links AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS inter FROM s x JOIN s y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY 1, 2) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * inter >= 80 * (p.n + q.n - inter)),
+             {_REACH}, c AS (SELECT id, min(to_) AS component FROM reach GROUP BY 1)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(coalesce(c.component, d.doc_id), d.doc_id) AS component_id, least(coalesce(c.component, d.doc_id), d.doc_id) = d.doc_id AS kept
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.id = d.doc_id
+    """,
+    "op8_embedding_near_duplicates": f"""
+        WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings
+                             WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+             links AS MATERIALIZED (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id <> q.vec_id AND len(p.x) = len(q.x) WHERE list_cosine_similarity(p.x, q.x) >= 0.93),
+             {_REACH}, c AS (SELECT id, min(to_) AS component FROM reach GROUP BY 1), l AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+        SELECT e.vec_id, coalesce(l.n, 0) AS n_links, least(coalesce(c.component, e.vec_id), e.vec_id) AS component_id, least(coalesce(c.component, e.vec_id), e.vec_id) = e.vec_id AS kept
+        FROM embeddings e LEFT JOIN l ON l.a = e.vec_id LEFT JOIN c ON c.id = e.vec_id
+    """,
     # scores are sums of products of integers below 2 ** 53, so doubles are exact
     "op9_exact_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
