@@ -16,6 +16,7 @@ each get their row; an empty table gives an empty table; further columns of the
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterable, Iterator
 
 import public_tokenizers
@@ -28,8 +29,8 @@ from .tokenstream import rank_vocabulary
 
 MOST_STATES = 400_000
 MOST_MOVES = 400_000
-#: Pieces of at most ``SHORT`` characters whose ids are kept, and how many.
-SHORT, MOST_PIECES = 24, 150_000
+#: Pieces of at most ``SHORT`` characters whose ids are kept, and how many in each of two generations.
+SHORT, MOST_PIECES = 24, 250_000
 
 
 class State(dict):
@@ -143,6 +144,25 @@ class EmittingTransducer:
         return out
 
 
+class KnownPieces(dict):
+    """Ids by piece, read by the transducer when first asked for; pieces that weren't asked for in a while are forgotten."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self._encode, self._older = encode, {}
+
+    def __missing__(self, piece: str) -> list[int]:
+        ids = self._older.get(piece)
+        if ids is None:
+            ids = self._encode(piece.encode("utf-8", "surrogatepass"))
+        if len(piece) <= SHORT:
+            if len(self) >= MOST_PIECES:
+                self._older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class ByteBPE:
     """A rank file with the common byte-level pre-tokenizer."""
 
@@ -157,21 +177,10 @@ class ByteBPE:
         self.decoder_moves: dict[bytes, dict] = {}
         self.decoder_size = 0
         self.decimal = [str(i) for i in range(max(self.vocabulary) + 1)].__getitem__
-        self.known: dict[str, list[int]] = {}
+        self.known = KnownPieces(self.encoder.encode_piece)
 
     def encode_text(self, text: str) -> list[int]:
-        out: list[int] = []
-        known, encode = self.known, self.encoder.encode_piece
-        if len(known) > MOST_PIECES:
-            known.clear()
-        for piece in self.pieces_of(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = encode(piece.encode("utf-8", "surrogatepass"))
-                if len(piece) <= SHORT:
-                    known[piece] = ids
-            out += ids
-        return out
+        return list(itertools.chain.from_iterable(map(self.known.__getitem__, self.pieces_of(text))))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [self.encode_text(t) for t in texts]
