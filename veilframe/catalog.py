@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import decoding, detection, documents, identifiers, pages, policy, reporting, reports
+from .plans import decoding, detection, documents, identifiers, pages, policy, reporting, reports, texts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _part in (identifiers, documents, detection, policy, pages, reports, reporting, decoding):
+for _part in (identifiers, documents, texts, detection, policy, pages, reports, reporting, decoding):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL

@@ -75,3 +75,26 @@ def decode_entities(logits: DataFrame, labels: list[str]) -> DataFrame:
 
     rows = logits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", "scores"))).alias("steps"))
     return rows.mapInPandas(decode, "doc_id long, first int, last int, category string")
+
+
+#: Moves between labels that a decoder may favour: staying outside, opening, going on, closing, span after span, single.
+BIASES = ("outside_to_outside", "outside_to_span", "begin_to_inside", "inside_to_inside", "inside_to_end", "span_to_span")
+
+
+def bias_matrix(labels: list[str], biases: dict[str, float]) -> np.ndarray:
+    """What is added to each move by its kind; kinds that aren't named add nothing."""
+    unknown = set(biases) - set(BIASES)
+    if unknown:
+        raise ValueError(f"no such bias: {sorted(unknown)}")
+    kind = [x[0] for x in labels]
+    by = {("O", "O"): "outside_to_outside", ("O", "B"): "outside_to_span", ("O", "S"): "outside_to_span", ("B", "I"): "begin_to_inside", ("B", "E"): "inside_to_end", ("I", "I"): "inside_to_inside", ("I", "E"): "inside_to_end"}
+    by |= {(a, b): "span_to_span" for a in "ES" for b in "BS"}
+    return np.array([[biases.get(by.get((a, b), ""), 0.0) for b in kind] for a in kind])
+
+
+def stitched(windows: DataFrame) -> DataFrame:
+    """(doc_id, position, scores) of windows (doc_id, first, low, high, scores array<array<double>>): each token's scores
+    from the window whose core [low, high) it is in."""
+    rows = windows.select("doc_id", "first", "low", "high", F.posexplode("scores").alias("i", "scores"))
+    place = (F.col("first") + F.col("i")).cast("int")
+    return rows.withColumn("position", place).where("position >= low and position < high").select("doc_id", "position", "scores")
