@@ -167,7 +167,8 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     table = places(plan(counts, capacity))
     salts = max(1, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    # rows of a table keep their places: equal pieces go to different cells by them
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
     cells = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     cells = cells.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     in_cell = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")

@@ -13,12 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hashes are taken modulo 2 ** 53, so that they are exact as doubles.
-UNIT = float(1 << 53)
+from .common import written
+
+#: Hashes are taken modulo 2 ** 52, so that they and a half are exact as doubles, and none is the whole unit.
+UNIT = float(1 << 52)
 
 
 def score(key: Column, shard: int, weight: float = 1.0) -> Column:
-    u = (F.pmod(F.xxhash64(key, F.lit(shard)), F.lit(1 << 53)).cast("double") + 0.5) / UNIT
+    u = (F.pmod(F.xxhash64(key, F.lit(shard)), F.lit(1 << 52)).cast("double") + 0.5) / UNIT
     return F.lit(-weight) / F.ln(u)
 
 
@@ -33,8 +35,10 @@ def shard_documents(docs: DataFrame, weights: list[float], added: float = 1.0, i
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     rows = rows.withColumn("best", winner(F.col("doc_id"), weights)).withColumn("shard", F.col("best.shard"))
     rows = rows.withColumn("grown_shard", F.when(score(F.col("doc_id"), len(weights), added) > F.col("best.score"), F.lit(len(weights))).otherwise(F.col("shard"))).drop("best")
+    # a table, whose rows keep their places: equal rows go to different cells by them
+    rows = written(rows, "sharded")
     salts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(salts)).cast("int"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
     cells = rows.groupBy("shard", "salt").agg(F.count("*").alias("n"))
     cells = cells.select("shard", "salt", (F.sum("n").over(Window.partitionBy("shard").orderBy("salt")) - F.col("n")).alias("before"))
     in_cell = F.row_number().over(Window.partitionBy("shard", "salt").orderBy("doc_id", "text_crc32", "size")) - 1
