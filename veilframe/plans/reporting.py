@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.checksums import fictional_phone
 from ..operators import manifest, render
 from ..operators import reports as R
 from ..operators.detectors import detect
@@ -41,6 +42,37 @@ def q_deidentify_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every
 
 
+#: A note for each customer, with all that the profiles treat differently.
+_NOTE = (
+    "concat('Claim No: WC', lpad(CAST(c_custkey AS STRING), 7, '0'), chr(10), 'Dr Mary Jones, aged ', CAST(c_custkey % 110 AS STRING), ', seen ', lpad(CAST(c_custkey % 28 + 1 AS STRING), 2, '0'), "
+    "'/03/2023, Mob 0412 ', lpad(CAST(c_custkey % 1000 AS STRING), 3, '0'), ' 001')"
+)
+
+
+def q_flow_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole flow, all rules, by profile and style: what becomes of each customer's note, and its outcome."""
+    notes = table(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", f"{_NOTE} AS text")
+    every = None
+    for profile in PROFILES:
+        for style in ("label", "blackout"):
+            out = deidentify(notes, profile, style)
+            rows = out["output"].join(out["gate"], "doc_id").select("doc_id", F.lit(profile).alias("profile"), F.lit(style).alias("style"), "outcome", "text")
+            every = rows if every is None else every.unionByName(rows)
+    return every
+
+
+def q_flow_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surrogates of the maximal profile: by how many days each note's date moved, which numbers are reserved ones, and
+    whether anything of the original is left."""
+    notes = table(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", f"{_NOTE} AS text")
+    out = deidentify(notes, "maximal", "surrogate", key=QUERY_KEY)
+    date = F.to_date(F.regexp_extract("text", r"([0-9]{2}/[0-9]{2}/[0-9]{4})", 1), "dd/MM/yyyy")
+    moved = F.abs(F.datediff(date, F.make_date(F.lit(2023), F.lit(3), (F.col("doc_id") % 28 + 1).cast("int"))))
+    phone = fictional_phone(F.regexp_extract("text", "Mob (.*)$", 1))
+    left = F.contains("text", F.lit("Jones")) | F.contains("text", F.concat(F.lit("WC"), F.lpad(F.col("doc_id").cast("string"), 7, "0")))
+    return out["output"].select(moved.between(30, 365).alias("moved"), phone.alias("fictional"), left.alias("left")).groupBy("moved", "fictional", "left").agg(F.count("*").alias("n"))
+
+
 def q_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = deidentify(_docs(spark, sf_dir), "maximal", "surrogate", key=QUERY_KEY)["replaced"]
     return out.select("doc_id", "start", "end", "entity_type", "action", F.length("by").alias("length"))
@@ -120,7 +152,7 @@ def q_tsv_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    q_deidentify, q_deidentify_all, q_surrogates, q_release_gate, q_release_checks, q_refused_ids, q_manifest_canonical, q_manifest_summary, q_category_counts, q_persons, q_low_evidence_rules, q_text_leak,
+    q_deidentify, q_deidentify_all, q_flow_notes, q_flow_shifts, q_surrogates, q_release_gate, q_release_checks, q_refused_ids, q_manifest_canonical, q_manifest_summary, q_category_counts, q_persons, q_low_evidence_rules, q_text_leak,
     q_integrity, q_span_to_tokens, q_tsv_parse,
 )}
 
@@ -135,6 +167,15 @@ ORACLE_SQL = {
              n AS (SELECT *, list_transform(first, lambda f: len(list_distinct(list_filter(first, lambda g: g <= f)))) AS no FROM k)
         SELECT doc_id, md5(array_to_string(list_transform(gaps, lambda g, i: g || CASE WHEN i <= len(hits) THEN '[EMAIL ' || CAST(no[i] AS VARCHAR) || ']' ELSE '' END), '')) AS text_md5 FROM n
     """,
+    # every profile's differences written out: professionals, dates, and ages from 90 on
+    "q_flow_notes": """
+        WITH c AS (SELECT c_custkey AS doc_id, c_custkey % 110 AS age, lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') || '/03/2023' AS day FROM customer),
+             p AS (SELECT * FROM c, (VALUES ('broad'), ('client'), ('claimant_focused'), ('maximal')) p(profile), (VALUES ('label'), ('blackout')) s(style)),
+             b AS (SELECT *, CASE style WHEN 'blackout' THEN '█████' END AS black FROM p)
+        SELECT doc_id, profile, style, 'released' AS outcome, 'Claim No: ' || coalesce(black, '[ID 1]') || chr(10) || 'Dr ' || CASE WHEN profile = 'claimant_focused' THEN 'Mary Jones' ELSE coalesce(black, '[NAME 1]') END || ', aged '
+               || CASE WHEN profile = 'maximal' AND age >= 90 THEN coalesce(black, '[AGE 1]') ELSE CAST(age AS VARCHAR) END || ', seen ' || CASE WHEN profile = 'maximal' THEN coalesce(black, '[DATE 1]') ELSE day END || ', Mob ' || coalesce(black, '[PHONE 1]') AS text FROM b
+    """,
+    "q_flow_shifts": "SELECT TRUE AS moved, TRUE AS fictional, FALSE AS left, count(*) AS n FROM customer",
     "q_release_gate": """
         SELECT CASE WHEN n = 1 AND doc_id IS NOT NULL AND NOT no_text THEN 'released' ELSE 'quarantined' END AS outcome, count(*) AS n
         FROM (SELECT doc_id, count(*) AS n, bool_or(text IS NULL) AS no_text FROM documents GROUP BY 1) GROUP BY 1
