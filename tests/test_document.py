@@ -189,6 +189,27 @@ def test_canonical_dates_and_ages():
     assert [generalise_age(x) for x in ("aged 92", "101 years old", "a 45-year-old", "90yo")] == ["aged 90+", "90+ years old", "a 45-year-old", "90+yo"]
 
 
+def test_offsets_avoid_what_looks_like_a_leak():
+    from veilframe.document.dates import choose_offset, leak_needles
+
+    draws = Draws(KEY)
+    index = lambda purpose, size, attempt: draws.index("date_shift", purpose, size, attempt)
+    days = choose_offset(index, ["14/03/2023", "1/2/2020"], [])
+    assert 30 <= abs(days) <= 365 and days == choose_offset(index, ["14/03/2023"], ["x"])
+    assert choose_offset(index, ["14/03/2023"], [shift_date("14/03/2023", days)]) not in (0, days)
+    assert choose_offset(lambda purpose, size, attempt: 0, ["14/03/2023"], [shift_date("14/03/2023", -30)]) == 0  # none is left
+    assert leak_needles(["a b", "wc-12", "12 34 56"]) == {"wc12", "123456"}
+
+
+def test_long_documents_take_time_in_proportion():
+    import time
+
+    lines = [(f"Dr Mary Jon{i % 50}es attended on 14/03/2023.", f"Claim No: WC{i:06d}7 of Mr Bro{'abcdefgh'[i % 8] * 2}wn", f"Ph: 02 9999 {i:04d} and more words here")[i % 3] for i in range(1500)]
+    began = time.time()
+    out = deidentified("\n".join(lines), settings_of("maximal", "surrogate"), KEY)
+    assert len(out["mentions"]) > 2000 and time.time() - began < 30
+
+
 def test_allow_list_and_refinement():
     from veilframe.document.allowlist import allowlisted, refine
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import defaultdict
 from dataclasses import dataclass, field
@@ -150,14 +151,14 @@ def detect(view: View, candidates: list[Candidate], settings: Settings) -> tuple
         candidates = candidates + new
         mentions, low = fuse(candidates, settings)
     if settings.extend:
-        for m in mentions:
-            _extend(view, m)
+        unsure = [t.confidence < UNCERTAIN for t in view.tokens]
+        for m in mentions if any(unsure) else ():
+            _extend(view, m, unsure)
     return mentions, low, rounds
 
 
-def _extend(view: View, m: Mention) -> None:
+def _extend(view: View, m: Mention, unsure: list[bool]) -> None:
     """Take in the uncertain tokens right beside the mention on its line."""
-    unsure = [t.confidence < UNCERTAIN for t in view.tokens]
     while m.first and unsure[m.first - 1] and view.same_line(m.first - 1, m.first):
         m.first -= 1
     while m.last + 1 < len(unsure) and unsure[m.last + 1] and view.same_line(m.last, m.last + 1):
@@ -283,10 +284,16 @@ def rebuilt(text: str, view: View, acted: list[Mention]) -> tuple[str, list[tupl
 
 def text_leaks(output: str, removed: list[str]) -> int:
     """Removed values whose key, or digits, stand within a line of the output."""
-    lines = [x for x in output.split("\n") if x.strip()]
-    keys, digits = [match_key(x) for x in lines], [digits_only(x) for x in lines]
     needles = {k for v in removed if len(k := match_key(v)) >= 4} | {d for v in removed if len(d := digits_only(v)) >= 6}
-    return sum(any(n in hay for hay in (digits if n.isdigit() else keys)) for n in needles)
+    heads: dict[str, list[str]] = defaultdict(list)
+    for n in needles:
+        heads[n[:4]].append(n)
+    found: set[str] = set()
+    for line in output.split("\n") if needles else ():
+        for hay, numbers in ((match_key(line), False), (digits_only(line), True)):
+            for at in range(len(hay) - 3):
+                found.update(n for n in heads.get(hay[at : at + 4], ()) if n.isdigit() == numbers and hay.startswith(n, at))
+    return len(found)
 
 
 def explained(value: str, replacements: list[str]) -> bool:
@@ -298,7 +305,14 @@ def explained(value: str, replacements: list[str]) -> bool:
 def residuals(view: View, places: list[tuple[int, int]], removed: list[tuple[str, str, int]], candidates: list[Candidate], kept: list[str], replacements: list[str], settings: Settings) -> set[int]:
     """Tokens of an output that still show something: removed values, exactly or nearly, and new strong evidence of what
     the profile removes.  ``places``: where replacements stand; ``removed``: value, type and tokens; ``kept``: values."""
-    covered = {i for i, t in enumerate(view.tokens) if sum(max(0, min(t.raw_end, b) - max(t.raw_start, a)) for a, b in places) * 2 >= t.raw_end - t.raw_start}
+    covered, ends = set(), [b for _, b in places]  # places don't overlap
+    for i, t in enumerate(view.tokens):
+        inside, at = 0, bisect.bisect_right(ends, t.raw_start)
+        while at < len(places) and places[at][0] < t.raw_end:
+            inside += min(t.raw_end, places[at][1]) - max(t.raw_start, places[at][0])
+            at += 1
+        if 2 * inside >= t.raw_end - t.raw_start:
+            covered.add(i)
     targets = {(k, entity): Target(k, n, entity) for value, entity, n in reversed(removed) if len(k := match_key(value)) >= RESIDUAL_MIN_KEY}
     out = {i for h in Targets(targets.values(), RESIDUAL_FLOOR).find(view) for i in range(h.first, h.last + 1)}
     keys = [k for r in replacements if (k := match_key(r))]

@@ -39,6 +39,10 @@ def within(a: str, b: str, most: int) -> int | None:
         return None
     if a == b:
         return 0
+    if most <= 1:
+        at = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        one = a[at + 1 :] == b[at + 1 :] if len(a) == len(b) else a[at + 1 :] == b[at:] if len(a) > len(b) else a[at:] == b[at + 1 :]
+        return 1 if most and one else None
     row = {j: j for j in range(most + 1)}
     for i, c in enumerate(a, 1):
         new: dict[int, int] = {}
@@ -67,13 +71,14 @@ class Targets:
         self.floor = floor
         self.targets = sorted(set(targets))
         self.exact: dict[tuple[int, str], list[int]] = defaultdict(list)
-        self.near: dict[int, list[tuple[int, str, int, list[str]]]] = defaultdict(list)
+        #: By size and length of a part, the parts with their targets and the edits these may be found within.
+        self.near: dict[int, dict[int, dict[str, list[tuple[int, int]]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(list)))
         for i, t in enumerate(self.targets):
             for size in {max(1, t.size - 1), t.size, t.size + 1}:
                 self.exact[size, t.key].append(i)
             most = self._most(t.key)
-            if most:
-                self.near[t.size].append((i, t.key, most, pieces(t.key, most)))
+            for piece in pieces(t.key, most) if most else ():
+                self.near[t.size][len(piece)][piece].append((i, most))
         self.sizes = sorted({size for size, _ in self.exact})
 
     def _most(self, key: str) -> int:
@@ -81,12 +86,17 @@ class Targets:
         return max((d for d in range(edit_budget(len(key)) + 1) if 1 - d / (len(key) + d) >= self.floor), default=0)
 
     def _fuzzy(self, size: int, key: str) -> list[tuple[int, float]]:
+        index = self.near.get(size)
+        may: dict[int, int] = {}
+        for length, parts in index.items() if index else ():
+            for at in range(len(key) - length + 1):
+                may.update(parts.get(key[at : at + length], ()))
         out = []
-        for i, other, most, parts in self.near.get(size, ()):
-            if abs(len(key) - len(other)) <= most and any(p in key for p in parts):
-                d = within(key, other, most)
-                if d is not None and 1 - d / max(len(key), len(other)) >= self.floor:
-                    out.append((i, 1 - d / max(len(key), len(other))))
+        for i, most in may.items():
+            other = self.targets[i].key
+            d = within(key, other, most)
+            if d is not None and 1 - d / max(len(key), len(other)) >= self.floor:
+                out.append((i, 1 - d / max(len(key), len(other))))
         return out
 
     def find(self, view: View) -> list[Hit]:

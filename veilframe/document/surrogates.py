@@ -111,6 +111,8 @@ class Surrogates:
         self._issued: set[str] = set()
         self._dates: dict[str, int] = {}
         self._places: dict[tuple[int, int], tuple[str, str]] = {}
+        self._people = {(m.first, m.last): m for m in persons.mentions}
+        self._surnames, self._givens = persons.parts(SURNAME), persons.parts(GIVEN)
         self._cluster_givens: dict[str, list[str]] = {}
         for m in persons.mentions:
             if m.cluster:
@@ -158,7 +160,7 @@ class Surrogates:
         return "".join(letter(c) if c.isalpha() else c for c in core)
 
     def person(self, first: int, last: int) -> list[str]:
-        m = next((m for m in self.persons.mentions if (m.first, m.last) == (first, last)), None)
+        m = self._people.get((first, last))
         if m is None:
             return [self.surname(self.view.keys[i], self.view.tokens[i].text) for i in range(first, last + 1)]
         by = {SURNAME: lambda p: self.surname(p.key, p.core), GIVEN: lambda p: self.given(p.key, p.core), INITIAL: lambda p: self._initials(p.core, m.cluster)}
@@ -241,7 +243,7 @@ class Surrogates:
 
     def _mailbox(self, local: str) -> str | None:
         """The mailbox with the document's names in it exchanged; None if there are none."""
-        surnames, givens = self.persons.parts(SURNAME), self.persons.parts(GIVEN)
+        surnames, givens = self._surnames, self._givens
         parts = [p for p in _LOCAL_PARTS.split(local) if p]
         if not any(match_key(p) in surnames | givens for p in parts):
             return None
@@ -311,7 +313,7 @@ class Surrogates:
         return self._made("postcode", key, lambda a: lead + f"{self.draws.index('postcode', key, 1000, a):03d}")
 
     def _state(self, first: int, last: int, after: bool) -> str | None:
-        low, high = next(r for r in self.view.line_runs() if r[0] <= first < r[1])
+        low, high = self.view.run_of(first)
         near = range(last + 1, high) if after else range(first - 1, low - 1, -1)
         return next((state_of(self.view.tokens[i].text) for i in near if is_state(self.view.tokens[i].text)), None)
 

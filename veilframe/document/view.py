@@ -101,7 +101,8 @@ class View:
         end = self.text.find("\n", at)
         return len(self.text) if end < 0 else end
 
-    def line_runs(self) -> list[tuple[int, int]]:
+    @functools.cached_property
+    def runs(self) -> list[tuple[int, int]]:
         """Half-open runs of tokens of a line."""
         out: list[tuple[int, int]] = []
         for i in range(len(self.tokens)):
@@ -111,6 +112,13 @@ class View:
                 out.append((i, i + 1))
         return out
 
+    def line_runs(self) -> list[tuple[int, int]]:
+        return self.runs
+
+    def run_of(self, token: int) -> tuple[int, int]:
+        """The run of the token's line."""
+        return self.runs[bisect.bisect_right(self.runs, (token, len(self.tokens) + 1)) - 1]
+
 
 def union(boxes) -> tuple[float, float, float, float]:
     x0, y0, x1, y1 = zip(*boxes, strict=True)
