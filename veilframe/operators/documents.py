@@ -12,6 +12,7 @@ from ..document.persons import SURNAME
 from ..document.rules import scan, scan_addresses
 from ..document.surrogates import forbidden_keys
 from ..document.view import View
+from ..tables import bounded_batches
 from .fusion import LOW_RISK, TYPES
 from .policy import KEEP_PROFESSIONALS, LABELS, actions_of
 
@@ -118,6 +119,7 @@ def process(docs: DataFrame, settings: flow.Settings, key: bytes | None, rules:
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more).mapInArrow(run, shape)
 
 
@@ -146,4 +148,5 @@ def persons_table(docs: DataFrame, settings: flow.Settings) -> DataFrame:
             columns = list(zip(*out, strict=True)) if out else [[]] * 8
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, shape)

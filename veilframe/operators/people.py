@@ -16,6 +16,7 @@ from ..document.cues import find_files, find_persons
 from ..document.labels import LabelReader
 from ..document.rules import scan_addresses
 from ..document.view import View
+from ..tables import bounded_batches
 
 COLUMNS = ("doc_id", "view", "entity_type", "start", "end", "value", "detector", "rule", "strength", "score")
 SHAPE = "doc_id long, view string, entity_type string, start int, end int, value string, detector string, rule string, strength int, score double"
@@ -39,6 +40,7 @@ def _found(docs: DataFrame, detector: str, find: Callable[[View], Iterable]) ->
                 if out:
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], list(COLUMNS))
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SHAPE)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 from ..functions.text import match_key
+from ..tables import bounded_batches
 from .tokens import tokens
 
 MIN_KEY, FLOOR, ROUNDS = 4, 0.88, 4
@@ -101,6 +102,7 @@ def exact(text: DataFrame, values: DataFrame) -> DataFrame:
     for name in ("size", "start", "end", "raw_start", "raw_end"):
         columns = columns.add(name, "integer")
     names, shape = columns.names, to_arrow_schema(columns)
+    bounded_batches(text.sparkSession)
     return rows.mapInArrow(run, columns)
 
 

@@ -5,15 +5,18 @@ from __future__ import annotations
 import copy
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..operators.boxes import limits
 from ..operators.manifest import canonical
 from ..operators.readers import word_windows
+from ..tables import bounded_batches
 
 #: Settings that don't change results; they aren't part of a configuration's hash.
 OPERATIONAL = ("workers", "timeout_s", "log_level", "paths")
@@ -82,8 +85,6 @@ def parse_reader_rows(rows: DataFrame) -> DataFrame:
     words = lines.select("doc_id", "at", n(0).alias("level"), n(1).alias("page"), F.struct(n(2), n(3), n(4)).alias("key"), n(6).alias("x0"), n(7).alias("y0"), n(8).alias("w"), n(9).alias("h"), F.expr("try_cast(f[10] AS DOUBLE)").alias("confidence"), F.col("f")[11].alias("text"))
     words = words.where("level = 5 and confidence >= 0 and w > 0 and h > 0 and trim(text) <> ''")
     first = words.groupBy("doc_id", "page", "key").agg(F.min("at").alias("first"))
-    from pyspark.sql import Window
-
     numbered = first.withColumn("line_no", F.dense_rank().over(Window.partitionBy("doc_id", "page").orderBy("first")) - 1)
     word_no = F.row_number().over(Window.partitionBy("doc_id", "page", "line_no").orderBy("at")) - 1
     joined = words.join(numbered.drop("first"), ["doc_id", "page", "key"])
@@ -103,8 +104,6 @@ def model_candidates(docs: DataFrame, load: Callable[[], Model], name: str, size
     shape = "array<struct<start: int, end: int, entity_type: string, detector: string, rule: string, strength: int, score: double>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
         model = load()
         word = re.compile(r"\S+", re.ASCII)
         for batch in batches:
@@ -120,9 +119,8 @@ def model_candidates(docs: DataFrame, load: Callable[[], Model], name: str, size
                 hits = [{"start": a, "end": b, "entity_type": e, "detector": f"ner.{name}", "rule": f"ner.{name}", "strength": 2 if s >= strong else 1, "score": s} for (a, b, e), s in sorted(found.items())]
                 yield pa.RecordBatch.from_pylist([{"doc_id": row["doc_id"], "text": row["text"], "candidates": hits}], schema=arrow)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     made = f"doc_id long, text string, candidates {shape}"
     arrow = to_arrow_schema(docs.sparkSession.createDataFrame([], made).schema)
     n = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text", word_windows(n, size, overlap).alias("windows")).mapInArrow(run, made)

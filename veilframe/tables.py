@@ -25,3 +25,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/veilframe-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows that the JVM puts into one Arrow batch; documents may be long.
+ROWS_A_BATCH = 256
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``ROWS_A_BATCH`` rows in this session; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS_A_BATCH:
+        spark.conf.set(name, str(ROWS_A_BATCH))
