@@ -362,6 +362,7 @@ def brute_repeats(data, window):
 @pytest.mark.parametrize("crowd", [suffixes.CROWD, 1])
 def test_repeated_strings(spark, nothing, rows, monkeypatch, crowd):
     monkeypatch.setattr(suffixes, "CROWD", crowd)
+    monkeypatch.setattr(suffixes, "HOT", 64 if crowd > 1 else 1)
     rng = random.Random(9)
     junk = lambda n: "".join(rng.choice("abcé ") for _ in range(n))
     passage, other = junk(70), junk(55)

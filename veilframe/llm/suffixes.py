@@ -25,7 +25,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, map_batches, now_doing, pieces_of, spent, texts_of, written
@@ -382,13 +382,15 @@ def _spans(data: np.ndarray, whole: np.ndarray, parts: list[tuple[int, int, int]
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def repeated_spans(docs: DataFrame, window: int, finish: Callable[[list[str], list[list[tuple[int, int]]]], list[pa.Array]], columns: str, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Per row (doc_id, text, rest, t, u, copies) with the ``more`` columns as a struct in rest, and for texts with something to remove (t, u, columns).
+def repeated_spans(docs: DataFrame, window: int, finish: Callable[[list[str], list[list[tuple[int, int]]]], list[pa.Array]], columns: str, more: tuple[str, ...] = (), instead: dict[str, Column] | None = None) -> DataFrame:
+    """Per row (doc_id, text, rest, t, u, copies, columns) with the ``more`` columns as a struct in rest; the ``columns`` are null where a text has nothing to remove.
 
-    ``finish`` makes the ``columns`` from texts and their removed runs, within the task that finds these.
+    ``finish`` makes the ``columns`` from texts and their removed runs, within the task that finds these; with ``instead``
+    rows have these columns of texts and not the texts themselves, which then aren't moved.
 
     ``t`` and ``u`` are hashes of the text and ``copies`` how many rows have it; a text with several copies is removed
-    whole where it has ``window`` bytes, and isn't in the second table for that.
+    whole where it has ``window`` bytes.  Texts with very many copies are found by a broadcast, and no rows are moved to
+    them: there are at most ``MOST_BROADCAST`` of them.
     """
     if window < 2 * STRIDE:
         raise ValueError(f"windows have {2 * STRIDE} bytes at least")
@@ -438,9 +440,19 @@ def repeated_spans(docs: DataFrame, window: int, finish: Callable[[list[str], li
     cut = asked.join(_small(parts), "t", "left").select("t", "u", "text", "whole", "parts")
     removed = written(map_batches(cut, each, f"t long, u long, {columns}", 1 << 20), "removed")
     spent(asked, parts)
-    return rows.join(owner, ["t", "u"]), removed
-
-
+    n = owner.agg(F.sum("copies")).first()[0] or 0
+    hot = F.col("copies") > max(HOT, -(-n // MOST_BROADCAST))
+    marked = rows.join(F.broadcast(owner.where(hot).select("t", "u", F.col("copies").alias("many"))), ["t", "u"], "left")
+    if instead is not None:
+        marked = marked.select("doc_id", "t", "u", "many", *[c.alias(name) for name, c in instead.items()])
+    # of a text with copies all goes or, where it is shorter than a window, nothing
+    often = marked.where("many is not null").withColumnRenamed("many", "copies")
+    rarely = marked.where("many is null").drop("many").join(owner.where(~hot), ["t", "u"]).join(removed, ["t", "u"], "left")
+    return rarely.unionByName(often, allowMissingColumns=True)
+
+
+#: Copies of a text from which on it may count as one with very many.
+HOT = 64
 #: Rows of a table with a key that is broadcast instead of moving texts or anchors to it; about 16 bytes each, or the runs of a text.
 MOST_BROADCAST = 1 << 18
 
@@ -466,8 +478,7 @@ def _digests(texts: list[str], spans: list[list[tuple[int, int]]]) -> list[pa.Ar
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes)."""
-    rows, cut = repeated_spans(docs, window, _digests, "gone long, spans long, digest string")
-    rows = rows.select("doc_id", "t", "u", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"), "copies").join(cut, ["t", "u"], "left")
+    rows = repeated_spans(docs, window, _digests, "gone long, spans long, digest string", instead={"n_bytes": F.octet_length("text").cast("long"), "sha": F.sha2("text", 256)})
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= window)
     return rows.select(
         "doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"),
@@ -493,7 +504,7 @@ def _kept(texts: list[str], spans: list[list[tuple[int, int]]]) -> list[pa.Array
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, more: list[str] | None = None) -> DataFrame:
     """doc_id, text and ``more`` columns with the remaining texts; a character stays unless all its bytes are removed."""
-    rows, cut = repeated_spans(docs, window, _kept, "kept string", tuple(more or ()))
+    rows = repeated_spans(docs, window, _kept, "kept string", tuple(more or ()))
     whole = (F.col("copies") > 1) & (F.octet_length("text") >= window)
     text = F.when(whole, F.lit("")).otherwise(F.coalesce("kept", "text")).alias("text")
-    return rows.join(cut, ["t", "u"], "left").select("doc_id", text, *(["rest.*"] if more else []))
+    return rows.select("doc_id", text, *(["rest.*"] if more else []))
