@@ -163,6 +163,11 @@ class KnownPieces(dict):
         return ids
 
 
+def _whole(token: bytes) -> str | None:
+    text, left = advance_utf8(b"", token)
+    return None if left or "�" in text else text
+
+
 class ByteBPE:
     """A rank file with the common byte-level pre-tokenizer."""
 
@@ -176,6 +181,8 @@ class ByteBPE:
         #: By state, the incomplete sequence: id -> (text, next state, its table).
         self.decoder_moves: dict[bytes, dict] = {}
         self.decoder_size = 0
+        #: Text of tokens that are whole characters, which leave the machine as it was; None for others.
+        self.whole = {i: _whole(k) for k, i in self.ranks.items()}
         self.decimal = [str(i) for i in range(max(self.vocabulary) + 1)].__getitem__
         self.known = KnownPieces(self.encoder.encode_piece)
 
@@ -207,7 +214,9 @@ class ByteBPE:
             yield "�"
 
     def decode(self, ids: Iterable[int]) -> str:
-        return "".join(self.decode_stream([ids]))
+        ids = list(ids)
+        whole = list(map(self.whole.__getitem__, ids))
+        return "".join(self.decode_stream([ids])) if None in whole else "".join(whole)
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import uuid
 import weakref
 from collections.abc import Callable, Iterable, Iterator
@@ -90,7 +92,6 @@ def now_doing(what: str) -> None:
     """Called by each task with its operator's name: what other operators left in the worker is given back first."""
     if _DOING[0] != what:
         import ctypes
-        import gc
 
         _DOING[0] = what
         _COMPILED.clear()
@@ -102,13 +103,27 @@ def now_doing(what: str) -> None:
             pass  # another C library keeps its free memory
 
 
+@contextlib.contextmanager
+def without_collection():
+    """Cyclic garbage waits until a batch is done: the compiled tables are millions of objects without cycles, and each
+    collection would walk through them."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, most_bytes: int = 8 << 20) -> DataFrame:
     """``mapInArrow`` over pieces of bounded size; ``each`` may return None for no rows."""
 
     def run(batches):
         now_doing(each.__module__)
         for piece in pieces_of(batches, most_bytes):
-            out = each(piece)
+            with without_collection():
+                out = each(piece)
             if out is not None and out.num_rows:
                 yield out
 

@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shipped, compiled, documents, map_batches, pieces_of, shared_folder, texts_of
+from .common import Shipped, compiled, documents, map_batches, now_doing, pieces_of, shared_folder, texts_of, without_collection
 from .tokenstream import LibraryVocabulary
 
 SCHEMA = "doc_id long, part int, n_tokens long, start_in_file long, ids array<int>"
 OPTIONS = {
-    "orc.compress": "ZSTD", "orc.stripe.size": str(16 << 20), "orc.create.index": "true", "orc.row.index.stride": "2000",
+    "orc.compress": "SNAPPY", "orc.stripe.size": str(16 << 20), "orc.create.index": "true", "orc.row.index.stride": "2000",
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
 }
 #: Files whose sums the driver adds up: 8 bytes each.
@@ -38,10 +38,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
     def run(batches):
+        now_doing(__name__)
         vocabulary = compiled(("library", file.key), lambda: LibraryVocabulary(file.bytes()))
         before = 0
-        for batch in pieces_of(batches, 2 << 20):
-            ids, ends = vocabulary.encode(texts_of(batch.column(2)))
+        for batch in pieces_of(batches, 3 << 20):
+            with without_collection():
+                ids, ends = vocabulary.encode(texts_of(batch.column(2)))
             ends = ends + np.arange(1, len(ends) + 1)
             with_end = np.full(len(ids) + len(ends), end_id, np.int32)
             with_end[np.delete(np.arange(len(with_end)), ends - 1)] = ids
