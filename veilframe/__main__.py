@@ -2,6 +2,7 @@
 
 import sys
 
-from .service import main
+from .service import main, plain_logs
 
+plain_logs()
 sys.exit(main())

@@ -52,6 +52,13 @@ def log(logger: logging.Logger, **fields) -> None:
     logger.info("", extra={"fields": fields})
 
 
+def plain_logs() -> None:
+    """All logs of this process, ours and others', in the plain form."""
+    handler = logging.StreamHandler()
+    handler.setFormatter(PlainFormatter())
+    logging.basicConfig(level=logging.INFO, handlers=[handler], force=True)
+
+
 def signed(key: bytes, purpose: str, job: str, name: str, until: int) -> str:
     """A token for one file of one job, good until a time."""
     message = "\x1f".join((purpose, job, name, str(until))).encode()
@@ -110,9 +117,6 @@ def main(argv: Sequence[str] | None = None) -> int:
     job.add_argument("--checkpoints", help="a folder that all nodes share")
     job.set_defaults(call=run)
     commands.add_parser("profiles").set_defaults(call=profiles)
-    handler = logging.StreamHandler()
-    handler.setFormatter(PlainFormatter())
-    logging.basicConfig(level=logging.INFO, handlers=[handler], force=True)
     arguments = parser.parse_args(argv)
     try:
         return arguments.call(arguments)
