@@ -23,7 +23,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Shipped, compiled, documents, map_batches, texts_of
+from .common import Shipped, compiled, documents, map_batches, texts_of, without_collection
 from .mergetable import BorderClasses, MergeTable
 from .tokenstream import rank_vocabulary
 
@@ -289,10 +289,11 @@ def round_trip_digests(docs: DataFrame, rank_path: str) -> DataFrame:
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         codec = _codec(ranks)
         n, a, b = [], [], []
-        for ids in codec.encode(texts_of(batch.column(1))):
-            n.append(len(ids))
-            a.append(hashlib.sha256(",".join(map(codec.decimal, ids)).encode()).hexdigest())
-            b.append(hashlib.sha256(codec.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
+        with without_collection():
+            for ids in codec.encode(texts_of(batch.column(1))):
+                n.append(len(ids))
+                a.append(hashlib.sha256(",".join(map(codec.decimal, ids)).encode()).hexdigest())
+                b.append(hashlib.sha256(codec.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
         return pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_batches(documents(docs), each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", 1 << 20)

@@ -122,8 +122,7 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch |
     def run(batches):
         now_doing(each.__module__)
         for piece in pieces_of(batches, most_bytes):
-            with without_collection():
-                out = each(piece)
+            out = each(piece)
             if out is not None and out.num_rows:
                 yield out
 
