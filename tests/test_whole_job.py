@@ -65,3 +65,16 @@ def test_flow_propagates(spark, rows):
 
     docs = spark.createDataFrame([(1, "seen by Dr Peter Brown today.\n\n Then Peter  Brown left; PETER BROWN slept"), (2, "Peter Brown")], "doc_id long, text string")
     assert rows(deidentify(docs)["output"]) == [(1, "seen by Dr [NAME 1] today.\n\n Then [NAME 1] left; [NAME 1] slept"), (2, "Peter Brown")]
+
+
+def test_card_numbers_beside_other_digits(spark, rows, tmp_path):
+    from veilframe.operators.detectors import detect
+
+    card = "4451718024887799"
+    texts = [f"{card} 27.65.93.188", f"99.114.106.61 {card}", card, f"x{card}", f"{card}_", "4111 1111 1111 1111", f"4111 1111 1111 1111 {card}", f"é{card}é"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = detect(docs, ["card"]).where("view = 'line'")
+    spaced = "4111 1111 1111 1111"
+    assert rows(found, "doc_id", "value") == [*[(i, card) for i in range(5)], (5, spaced), (6, spaced), (6, card), (7, card)]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(entry.queries()["q_card_luhn"](spark, str(tmp_path)), "n", "sum_start", "sum_end") == [(5, 35, 115)]

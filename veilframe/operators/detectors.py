@@ -50,7 +50,8 @@ PATTERNS = {
     "crn": _L + rf"\d{{3}}{_S}\d{{3}}{_S}\d{{3}}[ \t]?[A-Za-z]" + _R,
     "passport": _L + r"[A-Z]{1,2}[ \t]?\d{7}" + _R,
     "ndis": rf"(?<![0-9])\d{{3}}{_S}\d{{3}}{_S}\d{{3}}(?![0-9])",
-    "card": r"(?<![0-9])[3-6](?:[ \t\-]?\d){12,18}(?![0-9])",
+    # a number written in one run is taken alone, whatever digits stand before or behind it
+    "card": r"(?<![0-9])(?:[3-6]\d{12,18}|[3-6](?:\d|[ \t\-](?!\d{13})\d){12,18})(?![0-9])",
     "vin": _L + r"[A-HJ-NPR-Z0-9]{17}" + _R,
     "ipv4": r"(?<![0-9.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![0-9.])",
     "mobile": rf"(?<![0-9+])(?:\+?61{_S}|0)4\d{{2}}{_S}\d{{3}}{_S}\d{{3}}(?![0-9])",
@@ -204,12 +205,15 @@ def _named(name: str, view: str) -> Callable[[Column], Column]:
 RULES_A_SCAN = 5
 
 
-def detect(docs: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Candidates of (doc_id, text) by the named rules, all by default.  A scan for each few rules, no shuffle."""
+def detect(docs: DataFrame, names: list[str] | None = None, where: Column | None = None) -> DataFrame:
+    """Candidates of (doc_id, text) by the named rules, all by default.  A scan for each few rules, no shuffle.
+
+    ``where``: only matches (name, view, start, end, value) of ``text`` for which it is true.
+    """
     wanted = list(names or RULES)
     found = None
     for at in range(0, len(wanted), RULES_A_SCAN):
-        part = _scan(docs, wanted[at : at + RULES_A_SCAN])
+        part = _scan(docs, wanted[at : at + RULES_A_SCAN], where)
         found = part if found is None else found.unionByName(part)
     if "generic" in wanted and len(wanted) > 1:
         # a code inside a date is none
@@ -221,7 +225,7 @@ def detect(docs: DataFrame, names: list[str] | None = None) -> DataFrame:
     return found
 
 
-def _scan(docs: DataFrame, names: list[str]) -> DataFrame:
+def _scan(docs: DataFrame, names: list[str], where: Column | None = None) -> DataFrame:
     normalised = any(RULES[n].normalised for n in names)
     views = docs.select("doc_id", "text", (ocr_normalise(F.col("text")) if normalised else F.col("text")).alias("digits"))
     found = []
@@ -230,6 +234,8 @@ def _scan(docs: DataFrame, names: list[str]) -> DataFrame:
         for view, column in (("line", "text"), ("ocr_normalised", "digits"))[: 1 + rule.normalised]:
             found.append(F.transform(spans(F.col(column), PATTERNS[rule.pattern]), _named(name, view)))
     hits = views.select("doc_id", "text", "digits", F.explode(F.concat(*found)).alias("hit")).select("doc_id", "text", "digits", "hit.*")
+    if where is not None:
+        hits = hits.where(where)
     shown = F.when(F.col("view") == "line", F.col("text")).otherwise(F.col("digits"))
     decided, detector, score = F.lit(None), F.lit(None).cast("string"), F.lit(1.0)
     for name in names:
