@@ -3,6 +3,7 @@
 import hashlib
 import json
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
@@ -78,3 +79,14 @@ def test_card_numbers_beside_other_digits(spark, rows, tmp_path):
     assert rows(found, "doc_id", "value") == [*[(i, card) for i in range(5)], (5, spaced), (6, spaced), (6, card), (7, card)]
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert rows(entry.queries()["q_card_luhn"](spark, str(tmp_path)), "n", "sum_start", "sum_end") == [(5, 35, 115)]
+
+
+def test_seeds_are_counted_as_written_in_every_row(spark, rows, tmp_path):
+    # three words aren't the value, even where two are; ids may repeat or be null; a mark is no letter
+    data = [(1, "The rein is the re in"), (2, "token"), (2, "to ken\nlicense"), (None, "Token, to-ken"), (3, "tokén ｔoken"), (4, None), (5, "to . ken")]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seeds = entry.queries()["q_seed_match"](spark, str(tmp_path))
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = [(1, "therein", 1), (2, "token", 2), (2, "license", 1), (None, "token", 2), (3, "token", 1)]
+    assert rows(seeds) == sorted(duck.sql(entry.oracle_sql()["q_seed_match"]).fetchall(), key=repr) == sorted(want, key=repr)

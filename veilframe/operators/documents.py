@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from ..document import flow
 from ..document.persons import SURNAME
 from ..document.rules import scan, scan_addresses
+from ..document.search import Targets
 from ..document.surrogates import forbidden_keys
-from ..document.view import View
+from ..document.view import View, match_key
 from ..tables import bounded_batches
 from .fusion import LOW_RISK, TYPES
 from .policy import KEEP_PROFESSIONALS, LABELS, actions_of
@@ -123,6 +127,33 @@ def process(docs: DataFrame, settings: flow.Settings, key: bytes | None, rules:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more).mapInArrow(run, shape)
 
 
+def known_values(docs: DataFrame, seeds: list[tuple[str, str]], key: Callable[[str], str] = match_key) -> DataFrame:
+    """(doc_id, first, last, entity_type, key, rule, score): where seeds (type, value) stand, as the flow finds them
+    before it looks for anything that resembles what was found.  Each row of ``docs`` is searched, whatever its id.
+
+    ``key``: what a word and a value are compared by.
+    """
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
+    columns = StructType([StructField("doc_id", rows.schema["doc_id"].dataType)]).add("first", "integer").add("last", "integer")
+    for name in ("entity_type", "key", "rule"):
+        columns = columns.add(name, "string")
+    columns = columns.add("score", "double")
+    names, arrow = columns.names, to_arrow_schema(columns)
+
+    def run(batches):
+        targets = Targets(flow.seed_targets(seeds, key))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                doc, view = batch.column(0)[i].as_py(), View.of_text(batch.column(1)[i].as_py())
+                view.keys = [key(t.text) for t in view.tokens]
+                found = [(doc, h.first, h.last, h.entity_type, "".join(view.keys[h.first : h.last + 1]), h.rule, h.score) for h in targets.find(view)]
+                if found:
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, f, strict=True)) for f in found], schema=arrow)
+
+    bounded_batches(docs.sparkSession)
+    return rows.mapInArrow(run, columns)
+
+
 def with_unique_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents whose id no other has and whose text isn't null, and (doc_id, reason) of the rest."""
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("text").isNull()).alias("null_text"))
