@@ -90,3 +90,12 @@ def test_seeds_are_counted_as_written_in_every_row(spark, rows, tmp_path):
     duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = [(1, "therein", 1), (2, "token", 2), (2, "license", 1), (None, "token", 2), (3, "token", 1)]
     assert rows(seeds) == sorted(duck.sql(entry.oracle_sql()["q_seed_match"]).fetchall(), key=repr) == sorted(want, key=repr)
+
+
+def test_equal_spans_are_in_one_island(spark, rows, tmp_path):
+    # the SQL orders twice and leaves the order of equal rows open, so the islands are written out here
+    parts = [(0, 1), (5, 1), (15, 2), (40, 1), (50, 1)]
+    data = [(7, p, n, 10.0) for p, n in parts for _ in range(50)]
+    spark.createDataFrame(data, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double").repartition(8).write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = [(7, 1, 0, 15, 100), (7, 2, 15, 25, 50), (7, 3, 40, 50, 50), (7, 4, 50, 60, 50)]
+    assert rows(entry.queries()["q_fusion_islands"](spark, str(tmp_path))) == want
