@@ -99,3 +99,13 @@ def test_equal_spans_are_in_one_island(spark, rows, tmp_path):
     spark.createDataFrame(data, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double").repartition(8).write.parquet(f"{tmp_path}/lineitem.parquet")
     want = [(7, 1, 0, 15, 100), (7, 2, 15, 25, 50), (7, 3, 40, 50, 50), (7, 4, 50, 60, 50)]
     assert rows(entry.queries()["q_fusion_islands"](spark, str(tmp_path))) == want
+
+
+def test_equal_names_are_compared_once(spark, rows, tmp_path):
+    # copies of names count as often as they stand there, without a pair for each two of them
+    data = [(i, i % 2, f"Customer#{i % 20:09d}") for i in range(60_000)] + [(1, None, "Customer#000000001"), (2, 1, None)]
+    spark.createDataFrame(data, "c_custkey long, c_nationkey int, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    duck = duckdb.connect()
+    duck.sql("CREATE TABLE customer AS SELECT i AS c_custkey, CAST(i % 2 AS INTEGER) AS c_nationkey, 'Customer#' || lpad(CAST(i % 20 AS VARCHAR), 9, '0') AS c_name FROM range(20) r(i)")
+    want = [(nation, n * 3000 * 3000) for nation, n in duck.sql(entry.oracle_sql()["q_propagate_fuzzy"]).fetchall()]
+    assert rows(entry.queries()["q_propagate_fuzzy"](spark, str(tmp_path))) == sorted(want, key=repr)

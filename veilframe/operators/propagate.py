@@ -31,6 +31,24 @@ def fuzzy_match(found: Column, key: Column, floor: float = FLOOR) -> Column:
     return (found != key) & (F.abs(F.length(found) - F.length(key)) <= budget) & (distance >= 0) & (distance <= budget) & similar
 
 
+#: Blocks that the values of a group are dealt into, each to be compared with all of the group's keys.
+BLOCKS = 16
+
+
+def fuzzy_counts(found: DataFrame, keys: DataFrame, group: str, value: str, key: str, floor: float = FLOOR) -> DataFrame:
+    """(group, n): pairs of a row of ``found`` and one of ``keys`` in a group that match by ``fuzzy_match``.
+
+    Equal values are compared once and counted as often as they occur; a group is compared by many tasks.
+    """
+    parts = BLOCKS * 8
+    left = found.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).alias("a")).agg(F.count("*").alias("m"))
+    right = keys.where(F.col(key).isNotNull()).groupBy(F.col(group).alias("h"), F.col(key).alias("b")).agg(F.count("*").alias("k"))
+    left = left.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(BLOCKS)).cast("int")).repartition(parts, "g", "block")
+    right = right.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).repartition(parts, "h", "at")
+    pairs = left.join(right.hint("shuffle_hash"), (F.col("g") == F.col("h")) & (F.col("block") == F.col("at")) & fuzzy_match(F.col("a"), F.col("b"), floor))
+    return pairs.groupBy(F.col("g").alias(group)).agg(F.sum(F.col("m") * F.col("k")).alias("n"))
+
+
 def windows(text: DataFrame, longest: Column | int = 4) -> DataFrame:
     """(doc_id, line_no, first, size, start, end, key): runs of 1 to ``longest`` tokens of a line, without a shuffle by size."""
     words = tokens(text)
