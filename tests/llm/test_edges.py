@@ -190,3 +190,11 @@ def test_a_cluster_has_to_name_its_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_folder(Elsewhere())
+
+
+def test_toxicity_is_not_fitted_in_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"you are a {'vilest' if i % 3 else 'kindly'} person {i}") for i in range(400)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 3 <> 0 AS INT) AS toxic")
+    monkeypatch.setattr(toxicity, "learn_lexicon", None)
+    monkeypatch.setattr(type(docs), "toArrow", None)
+    assert toxicity.fit(docs, labels).fitted

@@ -14,6 +14,7 @@ gives an empty table; further columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -222,9 +223,18 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_byt
     rows = rows.withColumn("first", first).where("first = 1")
     # most_rows rows at most are left, so their running size may be taken in one task
     size = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("size", size).where(F.col("size") <= most_bytes).select("order", "doc_id", "text", "toxic").toArrow().to_pydict()
-    order = sorted(range(len(rows["order"])), key=lambda i: (rows["order"][i], rows["doc_id"][i]))
-    return Model([rows["text"][i] for i in order], np.array([rows["toxic"][i] > 0 for i in order], bool))
+    rows = rows.withColumn("size", size).where(F.col("size") <= most_bytes).select("order", "doc_id", "text", "toxic").coalesce(1)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)]
+        got.sort(key=lambda r: (r[0], r[1]))
+        model = Model([r[2] for r in got], np.array([r[3] > 0 for r in got], bool))
+        yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # in a task, so that the sample's texts and words never are in the driver's memory
+    bounded_batches(docs.sparkSession)
+    made = rows.mapInArrow(fitted, "model binary").collect()
+    return pickle.loads(bytes(made[0]["model"])) if made else Model([], np.zeros(0, bool))
 
 
 def score(text: Column, model: Model, spark: SparkSession) -> Column:
