@@ -109,3 +109,36 @@ def test_equal_names_are_compared_once(spark, rows, tmp_path):
     duck.sql("CREATE TABLE customer AS SELECT i AS c_custkey, CAST(i % 2 AS INTEGER) AS c_nationkey, 'Customer#' || lpad(CAST(i % 20 AS VARCHAR), 9, '0') AS c_name FROM range(20) r(i)")
     want = [(nation, n * 3000 * 3000) for nation, n in duck.sql(entry.oracle_sql()["q_propagate_fuzzy"]).fetchall()]
     assert rows(entry.queries()["q_propagate_fuzzy"](spark, str(tmp_path))) == sorted(want, key=repr)
+
+
+def test_profiles_and_styles_read_a_document_once(spark, rows):
+    from unittest import mock
+
+    from veilframe.operators import documents
+    from veilframe.plans.flow import deidentify, deidentify_each
+
+    key, wanted = bytes(32), [(p, s) for p in ("broad", "client", "claimant_focused", "maximal") for s in ("label", "surrogate", "blackout")]
+    docs = spark.createDataFrame([(1, TEXT), (2, "seen by Dr Peter Brown, aged 93.\nBrown left on 14/03/2023"), (3, None)], "doc_id long, text string")
+    done, _ = deidentify_each(docs, wanted, key)
+    for profile, style in (("client", "label"), ("maximal", "surrogate"), ("maximal", "blackout")):
+        alone = deidentify(docs, profile, style, key=key)["documents"]
+        assert rows(done.where((done["profile"] == profile) & (done["style"] == style)), *alone.columns) == rows(alone)
+    with mock.patch.object(documents, "_candidates", wraps=documents._candidates) as scans:
+        known = {}
+        for w in wanted:
+            documents.deidentified(TEXT, documents.settings_of(*w), key, known=known)
+    # the text once, and each output that differs from the others
+    assert sum(c.args[0].text == TEXT for c in scans.call_args_list) == 1 and len(scans.call_args_list) <= 1 + len(wanted)
+
+
+def test_windows_of_other_lengths_are_passed_over():
+    from unittest import mock
+
+    from veilframe.document.search import Target, Targets
+    from veilframe.document.view import View
+
+    targets = Targets([Target("peterbrownsmith", 3, "person")])
+    view = View.of_text("a b c d e f g Peter Brown Smyth and PeterBrown Smith")
+    with mock.patch.object(targets, "_fuzzy", wraps=targets._fuzzy) as fuzzy:
+        assert [(h.first, h.last, h.rule) for h in targets.find(view)] == [(11, 12, "mention.exact"), (7, 9, "mention.fuzzy")]
+    assert fuzzy.call_count < 10

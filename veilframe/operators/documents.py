@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Hashable
+from copy import copy
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,14 +51,14 @@ def _shown(view: View, m: flow.Mention) -> dict:
     }
 
 
-def _verified(text: str, output: str, places: list[tuple[int, int]], view: View, acted: list[flow.Mention], all_: list[flow.Mention], persons, settings, rules) -> tuple[str, dict]:
+def _verified(text: str, output: str, places: list[tuple[int, int]], view: View, acted: list[flow.Mention], all_: list[flow.Mention], persons, settings, rules, shared) -> tuple[str, dict]:
     """The output, blacked out once more where something shows, and the problems each check has with it."""
     removed = [(view.value(m.first, m.last), m.entity_type, m.last - m.first + 1) for m in acted]
     kept = [view.value(m.first, m.last) for m in all_ if m.action == "keep"]
     replacements = [m.by for m in acted]
-    seen = View.of_text(output)
+    seen = shared(("view", output), lambda: View.of_text(output))
     # where nothing was replaced, a second detection can only say the same
-    found = flow.residuals(seen, places, removed, _candidates(seen, rules, []), kept, replacements, settings) if acted else set()
+    found = flow.residuals(seen, places, removed, shared(("found", output), lambda: _candidates(seen, rules, [])), kept, replacements, settings) if acted else set()
     replans = 0
     if found:
         replans = 1
@@ -83,17 +84,42 @@ def _verified(text: str, output: str, places: list[tuple[int, int]], view: View,
     }
 
 
-def deidentified(text: str, settings: flow.Settings, key: bytes | None, rules: list[str] | None = None, rows: list[dict] | None = None, tokens: list[dict] | None = None) -> dict:
-    """One document's row without its id; with ``tokens``, what readers found, the text is their line view."""
-    view = View.of_rows(tokens) if tokens else View.of_text(text)
+#: Characters of a text up to which what several settings share is kept for the next of them.
+SHARED = 1 << 16
+
+
+def sharing(known: dict | None, size: int) -> Callable:
+    """What is asked for, made once if it may be kept in ``known``."""
+
+    def shared(at: Hashable, make: Callable):
+        if known is None or size > SHARED:
+            return make()
+        if at not in known:
+            known[at] = make()
+        return known[at]
+
+    return shared
+
+
+def deidentified(text: str, settings: flow.Settings, key: bytes | None, rules: list[str] | None = None, rows: list[dict] | None = None, tokens: list[dict] | None = None, known: dict | None = None) -> dict:
+    """One document's row without its id; with ``tokens``, what readers found, the text is their line view.
+
+    ``known``: empty at first; what the same document under other settings shares with this.
+    """
+    shared = sharing(known, len(text))
+    view = shared("view", lambda: View.of_rows(tokens) if tokens else View.of_text(text))
     text = view.text if tokens else text
-    mentions, low, rounds = flow.detect(view, _candidates(view, rules, rows or []), settings)
+    found = shared("found", lambda: _candidates(view, rules, rows or []))
+    # detection asks of the settings no more than which types are kept, and what is the same for all profiles
+    acted_on = frozenset(t for t, action in settings.actions.items() if action != "keep")
+    mentions, low, rounds = shared(("detected", acted_on, settings.seeds), lambda: flow.detect(view, found, settings))
+    mentions = [copy(m) for m in mentions]
     mentions = flow.split_places(view, mentions, settings)
     persons = flow.decide(view, mentions, settings)
     acted = flow.without_overlaps(mentions)
     days = flow.replace(view, acted, persons, settings, key)
     output, places = flow.rebuilt(text, view, acted)
-    output, problems = _verified(text, output, places, view, acted, mentions, persons, settings, rules)
+    output, problems = _verified(text, output, places, view, acted, mentions, persons, settings, rules, shared)
     shown = [{**_shown(view, m), "action": m.action, "by": m.by, "cluster": m.cluster} for m in sorted(mentions, key=lambda m: (m.first, m.last, m.entity_type))]
     return {"text": output, "rounds": rounds, "days": days, "mentions": shown, "low": [_shown(view, m) for m in low], "error": None, **problems}
 
@@ -104,22 +130,30 @@ def process(docs: DataFrame, settings: flow.Settings, key: bytes | None, rules:
     ``docs``: doc_id, text and, if there are such columns, candidates (array of view spans that models found) and
     tokens (array, in reading order).  Documents are independent and read once.
     """
+    return process_each(docs, {("", ""): settings}, key, rules).drop("profile", "style")
+
+
+def process_each(docs: DataFrame, wanted: dict[tuple[str, str], flow.Settings], key: bytes | None, rules: list[str] | None = None) -> DataFrame:
+    """``ROW``, profile and style for each document and each of the settings, by profile and style; a document is read once."""
     more = [c for c in ("candidates", "tokens") if c in docs.columns]
-    shape = docs.sparkSession.createDataFrame([], ROW).schema
+    shape = docs.sparkSession.createDataFrame([], f"{ROW}, profile string, style string").schema
     arrow = to_arrow_schema(shape)
 
     def run(batches):
         for batch in batches:
-            out = []
+            out, size = [], 0
             for row in (r for at in range(0, batch.num_rows, ROWS) for r in batch.slice(at, ROWS).to_pylist()):
-                try:
-                    made = deidentified(row["text"] or "", settings, key, rules, row.get("candidates"), row.get("tokens"))
-                except Exception as e:  # the document is quarantined, and no value of it is in a message
-                    made = {"text": None, "error": type(e).__name__}
-                out.append({"doc_id": row["doc_id"], **made})
-                if sum(len(r["text"] or "") for r in out) > 4 << 20:
-                    yield pa.RecordBatch.from_pylist(out, schema=arrow)
-                    out = []
+                known = {} if len(wanted) > 1 else None
+                for (profile, style), settings in wanted.items():
+                    try:
+                        made = deidentified(row["text"] or "", settings, key, rules, row.get("candidates"), row.get("tokens"), known)
+                    except Exception as e:  # the document is quarantined, and no value of it is in a message
+                        made = {"text": None, "error": type(e).__name__}
+                    out.append({"doc_id": row["doc_id"], "profile": profile, "style": style, **made})
+                    size += len(made["text"] or "")
+                    if size > 4 << 20 or len(out) >= 4 * ROWS:
+                        yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                        out, size = [], 0
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import manifest, surrogates
-from ..operators.documents import process, settings_of, with_unique_ids
+from ..operators.documents import process, process_each, settings_of, with_unique_ids
 from ..tables import written
 
 
@@ -24,6 +24,20 @@ def deidentify(docs: DataFrame, profile: str = "broad", style: str = "label", ru
     good, bad = with_unique_ids(docs)
     secret = (key or surrogates.master_key()) if style == "surrogate" else None
     done = written(process(good, settings_of(profile, style, seeds), secret, rules), "documents")
+    return tables(done, bad)
+
+
+def deidentify_each(docs: DataFrame, wanted: list[tuple[str, str]], key: bytes | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` for each profile and style, which read a document once together, and what wasn't read.
+
+    Rows of one profile and style give their tables by ``tables``.
+    """
+    good, bad = with_unique_ids(docs)
+    secret = (key or surrogates.master_key()) if any(style == "surrogate" for _, style in wanted) else None
+    return written(process_each(good, {w: settings_of(*w) for w in wanted}, secret), "documents"), bad
+
+
+def tables(done: DataFrame, bad: DataFrame) -> dict[str, DataFrame]:
     decisions = done.select("doc_id", F.explode("mentions").alias("m")).select("doc_id", "m.*")
     checks = manifest.checks(done)
     return {

@@ -15,7 +15,7 @@ from ..operators.tokens import to_token_ranges, tokens
 from ..sources import lines as L
 from ..sources.tables import table
 from .documents import EMAIL_RE2
-from .flow import deidentify
+from .flow import deidentify, deidentify_each
 
 #: The key of the queries' surrogates; a fixed one, so that results can be compared.
 QUERY_KEY = bytes(range(32))
@@ -33,13 +33,9 @@ def q_deidentify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_deidentify_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules, profiles and styles: by both, what was done with how many mentions."""
-    every = None
-    for profile in PROFILES:
-        for style in ("label", "surrogate", "blackout"):
-            out = deidentify(_docs(spark, sf_dir), profile, style, key=QUERY_KEY)["decisions"]
-            rows = out.groupBy("entity_type", "action").agg(F.count("*").alias("n"), F.sum(F.length("by")).alias("drawn")).withColumn("profile", F.lit(profile)).withColumn("style", F.lit(style))
-            every = rows if every is None else every.unionByName(rows)
-    return every
+    done, _ = deidentify_each(_docs(spark, sf_dir), [(p, s) for p in PROFILES for s in ("label", "surrogate", "blackout")], key=QUERY_KEY)
+    rows = done.select("profile", "style", F.explode("mentions").alias("m")).groupBy("m.entity_type", "m.action", "profile", "style")
+    return rows.agg(F.count("*").alias("n"), F.sum(F.length("m.by")).alias("drawn")).select("entity_type", "action", "n", "drawn", "profile", "style")
 
 
 #: A note for each customer, with all that the profiles treat differently.
