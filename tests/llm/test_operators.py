@@ -13,7 +13,8 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.llm import bytebpe, embeddups, minhash, orcids, packing, sharding, suffixes, tokencount, topk, toxicity
+import corpus_pipeline
+from veilframe.llm import bytebpe, embeddups, minhash, orcids, packing, queries, sharding, suffixes, tokencount, topk, toxicity
 from veilframe.llm.components import components
 from veilframe.llm.mergetable import MergeTable
 from veilframe.llm.tokenstream import LibraryVocabulary
@@ -373,6 +374,24 @@ def test_repeated_strings(spark, nothing, rows, monkeypatch, crowd):
     assert suffixes.remove_repeats(nothing, 50).count() == 0
 
 
+def test_passages_of_over_50_words_go_by_their_bytes(spark, tmp_path):
+    """Operator 10's contract fixes strings of 400 bytes, however many words a passage has; shorter ones are the pipeline's."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("bcdfgklmnprstaeiou") for _ in range(n))
+    apart = lambda: " ".join(word(6) for _ in range(30))
+    sizes = (399, 400, 153)
+    passages = [" ".join(["", *(word(n // 60) for _ in range(50)), word(n - 50 * (n // 60) - 52), ""]) for n in sizes]
+    assert [len(p) for p in passages] == list(sizes) and all(len(p.split()) == 51 for p in passages)
+    data = [f"{apart()}{edge}{p}{edge}{apart()}" for p in passages for edge in "xyz"] + [apart()]
+    df = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: tuple(r) for r in queries.op10_repeated_strings(spark, str(tmp_path)).collect()}
+    assert sorted(got.values()) == brute_repeats(data, 400)
+    assert [got[i][2] for i in range(10)] == [0] * 3 + [400] * 3 + [0] * 4
+    shorter = {r["doc_id"]: r["n_removed"] for r in suffixes.remove_repeats(df, corpus_pipeline.REPEAT).collect()}
+    assert [shorter[i] for i in range(10)] == [399] * 3 + [400] * 3 + [153] * 3 + [0]
+
+
 def test_family_finds_what_one_array_finds():
     rng = np.random.default_rng(3)
     blobs = [rng.integers(97, 99, 40).astype(np.uint8) for _ in range(9)]
