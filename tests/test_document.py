@@ -295,3 +295,33 @@ def test_rules_equal_the_column_expressions(spark):
         want = {(r["doc_id"], r["start"], r["end"], r["entity_type"], r["rule"], r["strength"]) for r in detectors.detect(docs, names).collect()}
         got = {(i, h.start, h.end, h.entity_type, h.rule, h.strength) for i, t in enumerate(texts) for h in rules.scan(View.of_text(t), names)}
         assert got == want, names
+
+
+def test_values_one_by_one_are_those_of_all_windows():
+    import random
+
+    from veilframe.document import search
+
+    r, words = random.Random(5), ["abab", "ab", "1ab", "cabc", "abcabcab", "b1", "-", "\n", ".\n", "aabbcc1"]
+    for floor in (search.FLOOR, search.RESIDUAL_FLOOR):
+        for _ in range(300):
+            view = View.of_text(" ".join(r.choices(words, k=25)))
+            values = [(k, size) for size in (1, 2, 3) if len(k := "".join(r.choices(words[:6], k=size))) > 3]
+            targets = Targets([search.Target(k, size, "person") for k, size in values], floor)
+            assert targets.find(view) == targets._find_by_windows(view)
+
+
+def test_labels_are_tried_where_words_begin_like_one():
+    from unittest import mock
+
+    from veilframe.document import labels
+
+    words = sorted(h for heads in labels._HEADS.values() for h in heads)
+    texts = [" ".join(words), "\n".join(f"{w}: 1" for w in words).upper(), "ſubject: A\nİnsured: B\nDate of Birth 1/2/1990 d.o.b. Our ref: 12", "xxxx " * 99 + "Claim No: 12"]
+    for text in texts:
+        found = [[(m.span(), rule) for m, rule, *_ in labels._label_matches(text)] for labels._A_TRY in (0, 1 << 30)]
+        assert sorted(found[0]) == sorted(found[1]) and found[0]
+    labels._A_TRY = 6
+    with mock.patch.object(labels, "_FORMS", [(rule, mock.Mock(wraps=form), entity, kind) for rule, form, entity, kind in labels._FORMS]):
+        assert [rule for _, rule, *_ in labels._label_matches(texts[-1])] == ["label.claim"]
+        assert not any(form.finditer.called for _, form, _, _ in labels._FORMS)
