@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Hashable
 from copy import copy
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,21 +52,43 @@ def _shown(view: View, m: flow.Mention) -> dict:
     }
 
 
+#: Characters of an output up to which what is detected in it is kept for outputs that read alike, and how many are.
+ALIKE, OUTPUTS = 256, 1 << 13
+
+
+@lru_cache(maxsize=OUTPUTS)
+def _output_candidates(output: str) -> tuple[View, list[flow.Candidate]]:
+    view = View.of_text(output)
+    return view, _candidates(view, None, [])
+
+
+def _detected_again(output: str, rules: list[str] | None, style: str) -> tuple[View, list[flow.Candidate]]:
+    """An output's view and what a detection finds in it; surrogates differ from document to document."""
+    if rules is None and style != "surrogate" and len(output) <= ALIKE:
+        seen, found = _output_candidates(output)
+        seen.known_hits.clear()  # values don't stay behind their document
+        return seen, found
+    view = View.of_text(output)
+    return view, _candidates(view, rules, [])
+
+
 def _verified(text: str, output: str, places: list[tuple[int, int]], view: View, acted: list[flow.Mention], all_: list[flow.Mention], persons, settings, rules, shared) -> tuple[str, dict]:
     """The output, blacked out once more where something shows, and the problems each check has with it."""
     removed = [(view.value(m.first, m.last), m.entity_type, m.last - m.first + 1) for m in acted]
     kept = [view.value(m.first, m.last) for m in all_ if m.action == "keep"]
     replacements = [m.by for m in acted]
-    seen = shared(("view", output), lambda: View.of_text(output))
     # where nothing was replaced, a second detection can only say the same
-    found = flow.residuals(seen, places, removed, shared(("found", output), lambda: _candidates(seen, rules, [])), kept, replacements, settings) if acted else set()
+    found = set()
+    if acted:
+        seen, again = shared(("found", output), lambda: _detected_again(output, rules, settings.style))
+        found = flow.residuals(seen, places, removed, again, kept, replacements, settings)
     replans = 0
     if found:
         replans = 1
         output, blanks = flow.blanked(output, seen, found)
         seen = View.of_text(output)
         found = flow.residuals(seen, blanks, removed, _candidates(seen, rules, []), kept, replacements, settings)
-    forbidden = forbidden_keys(view, [(m.first, m.last) for m in acted], persons)
+    forbidden = forbidden_keys(view, [(m.first, m.last) for m in acted], persons) if settings.style == "surrogate" else set()
     items = [(m.entity_type, m.action, view.value(m.first, m.last), m.by, m.words or []) for m in acted]
     # what lies between the mentions has to be the same in both texts, but for what was blacked out afterwards
     between, at = [], 0
@@ -188,6 +211,14 @@ def known_values(docs: DataFrame, seeds: list[tuple[str, str]], key: Callable[[s
     return rows.mapInArrow(run, columns)
 
 
+def spread(good: DataFrame) -> DataFrame:
+    """Documents of different ids dealt to all cores: a file of many short ones may be read by a single task, and each
+    costs far more to work on than to send."""
+    spark = good.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return good.repartition(parts, "doc_id")
+
+
 def with_unique_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents whose id no other has and whose text isn't null, and (doc_id, reason) of the rest."""
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("text").isNull()).alias("null_text"))

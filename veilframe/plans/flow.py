@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import manifest, surrogates
-from ..operators.documents import process, process_each, settings_of, with_unique_ids
+from ..operators.documents import process, process_each, settings_of, spread, with_unique_ids
 from ..tables import written
 
 
@@ -23,7 +23,7 @@ def deidentify(docs: DataFrame, profile: str = "broad", style: str = "label", ru
     """
     good, bad = with_unique_ids(docs)
     secret = (key or surrogates.master_key()) if style == "surrogate" else None
-    done = written(process(good, settings_of(profile, style, seeds), secret, rules), "documents")
+    done = written(process(spread(good), settings_of(profile, style, seeds), secret, rules), "documents")
     return tables(done, bad)
 
 
@@ -34,7 +34,7 @@ def deidentify_each(docs: DataFrame, wanted: list[tuple[str, str]], key: bytes |
     """
     good, bad = with_unique_ids(docs)
     secret = (key or surrogates.master_key()) if any(style == "surrogate" for _, style in wanted) else None
-    return written(process_each(good, {w: settings_of(*w) for w in wanted}, secret), "documents"), bad
+    return written(process_each(spread(good), {w: settings_of(*w) for w in wanted}, secret), "documents"), bad
 
 
 def tables(done: DataFrame, bad: DataFrame) -> dict[str, DataFrame]:
