@@ -167,3 +167,42 @@ def test_outputs_that_read_alike_are_detected_once():
     seen, _ = documents._output_candidates(made[0]["text"])
     # an output that still holds a value isn't passed over, whatever was known of one that reads alike
     assert "brown" not in str(seen.known_hits) and "jones" not in str(seen.known_hits)
+
+
+def test_names_meet_only_what_is_within_the_edits():
+    import random
+    from unittest import mock
+
+    import numpy as np
+
+    from veilframe.operators import propagate
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            new = [i]
+            for j, x in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != x)))
+            row = new
+        return row[-1]
+
+    def similar(a, b, floor):
+        n, d = len(b), distance(a, b)
+        return 0 < d <= (0 if n < 6 else 1 if n < 10 else 2 if n < 16 else 3) and 1 - d / max(len(a), n) >= floor
+
+    r = random.Random(3)
+    for least, most in ((0, 9), (8, 13), (14, 19), (24, 28)):
+        base = "".join(r.choices("abé😀1", k=most))
+        words = {base[: r.randint(least, most)] for _ in range(5)}
+        words |= {w[:i] + r.choice(("", "x", "a", "xé")) + w[i + r.randint(0, 2) :] for w in sorted(words) for i in r.choices(range(len(w) + 1), k=9)}
+        words = sorted(words)
+        counts = [r.randint(1, 3) for _ in words]
+        for floor in (0.8, propagate.FLOOR):
+            want = sum(x * y for a, x in zip(words, counts, strict=True) for b, y in zip(words, counts, strict=True) if similar(a, b, floor))
+            for propagate.PLACES in (8, 1 << 18):
+                assert propagate.similar_pairs(words, counts, words, counts, floor) == want
+    keys = [f"customer{i:09d}" for i in r.sample(range(100_000), 4000)]
+    with mock.patch.object(propagate.np, "minimum", wraps=np.minimum) as steps:
+        propagate.similar_pairs([k[:-1] + "x" for k in keys], [1] * 4000, keys, [1] * 4000)
+    # of the table of each pair, of 17 by 5 entries, fewer than three
+    assert sum(len(c.args[0]) for c in steps.call_args_list) < 3 * 4000 * 4000
