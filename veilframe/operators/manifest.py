@@ -12,24 +12,24 @@ from pyspark.sql import functions as F
 CHECKS = {"V1": "error", "V2": "leaks", "V4": "residual", "V5": "unsafe", "V6": "changed"}
 
 
-def checks(done: DataFrame) -> DataFrame:
+def checks(done: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(doc_id, check, passed, problems) of the documents' rows: V1 there is an output, V2 no line of it holds a removed
     value, V4 neither a second search for removed values nor a second detection finds anything, V5 no surrogate is near
-    an original or valid, V6 nothing but the mentions changed."""
+    an original or valid, V6 nothing but the mentions changed.  ``by``: the columns that tell rows apart."""
     problems = {"V1": (F.col("error").isNotNull() | F.col("text").isNull()).cast("int"), **{c: F.coalesce(F.col(n), F.lit(1)) for c, n in CHECKS.items() if c != "V1"}}
     rows = F.array(*[F.struct(F.lit(c).alias("check"), n.cast("long").alias("problems")) for c, n in problems.items()])
-    return done.select("doc_id", F.explode(rows).alias("c")).select("doc_id", "c.check", (F.col("c.problems") == 0).alias("passed"), "c.problems")
+    return done.select(*by, F.explode(rows).alias("c")).select(*by, "c.check", (F.col("c.problems") == 0).alias("passed"), "c.problems")
 
 
-def gate(done: DataFrame, checked: DataFrame, refused: DataFrame | None = None) -> DataFrame:
+def gate(done: DataFrame, checked: DataFrame, refused: DataFrame | None = None, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(doc_id, outcome, reasons): released only where all checks ran and passed; every document has one outcome.
 
-    ``refused``: (doc_id, reason) of documents that weren't read.
+    ``refused``: (doc_id, reason) of documents that weren't read; ``by``: as in ``checks``, without refused ones.
     """
-    seen = checked.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and("passed").alias("ok"), F.array_sort(F.collect_set(F.when(~F.col("passed"), F.col("check")))).alias("reasons"))
-    joined = done.select("doc_id").join(seen, "doc_id", "left")
+    seen = checked.groupBy(*by).agg(F.count("*").alias("n"), F.bool_and("passed").alias("ok"), F.array_sort(F.collect_set(F.when(~F.col("passed"), F.col("check")))).alias("reasons"))
+    joined = done.select(*by).join(seen, list(by), "left")
     released = (F.col("n") == len(CHECKS)) & F.col("ok")
-    out = joined.select("doc_id", F.when(released, "released").otherwise("quarantined").alias("outcome"), F.coalesce("reasons", F.array(F.lit("not_checked"))).alias("reasons"))
+    out = joined.select(*by, F.when(released, "released").otherwise("quarantined").alias("outcome"), F.coalesce("reasons", F.array(F.lit("not_checked"))).alias("reasons"))
     if refused is not None:
         out = out.unionByName(refused.select("doc_id", F.lit("quarantined").alias("outcome"), F.array("reason").alias("reasons")))
     return out

@@ -15,7 +15,7 @@ from ..operators.tokens import to_token_ranges, tokens
 from ..sources import lines as L
 from ..sources.tables import table
 from .documents import EMAIL_RE2
-from .flow import deidentify, deidentify_each, tables
+from .flow import deidentify, deidentify_each
 
 #: The key of the queries' surrogates; a fixed one, so that results can be compared.
 QUERY_KEY = bytes(range(32))
@@ -49,13 +49,10 @@ def q_flow_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole flow, all rules, by profile and style: what becomes of each customer's note, and its outcome."""
     notes = table(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", f"{_NOTE} AS text")
     wanted = [(p, s) for p in PROFILES for s in ("label", "blackout")]
-    done, bad = deidentify_each(notes, wanted)
-    every = None
-    for profile, style in wanted:
-        out = tables(done.where((F.col("profile") == profile) & (F.col("style") == style)), bad)
-        rows = out["output"].join(out["gate"], "doc_id").select("doc_id", F.lit(profile).alias("profile"), F.lit(style).alias("style"), "outcome", "text")
-        every = rows if every is None else every.unionByName(rows)
-    return every
+    done, _ = deidentify_each(notes, wanted)  # a note that wasn't read has no row
+    by = ("doc_id", "profile", "style")
+    outcomes = manifest.gate(done, manifest.checks(done, by), by=by)
+    return done.select(*by, "text").join(outcomes, list(by)).select(*by, "outcome", "text")
 
 
 def q_flow_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
